@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import pii
+from tessera.llm import pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +34,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "rule")
+
+
+QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op10_quality": op10_quality}
 
 ORACLE_SQL: dict[str, str] = {}
 
