@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, pii, quality
+from tessera.llm import langid, pii, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
@@ -46,7 +50,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "rule")
 
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op8_language": op8_language, "op10_quality": op10_quality}
+QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op4_toxicity": op4_toxicity, "op8_language": op8_language, "op10_quality": op10_quality}
 
 ORACLE_SQL: dict[str, str] = {}
 
