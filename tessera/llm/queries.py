@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, pii, quality, toxicity
+from tessera.llm import langid, pii, quality, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,14 +45,30 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, learnable).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archives(spark, _table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "rule")
 
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op4_toxicity": op4_toxicity, "op8_language": op8_language, "op10_quality": op10_quality}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op4_toxicity": op4_toxicity, "op8_language": op8_language, "op9_warc": op9_warc, "op10_quality": op10_quality}
+
+ORACLE_SQL: dict[str, str] = {
+    # base 32 of the SHA-1: five hex digits are twenty bits, four letters
+    "op9_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+             d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS h FROM p),
+             f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(1 + ((CAST('0x' || substr(h, CAST((i // 4) * 5 + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+        FROM f""",
+}
 
 
 def queries() -> dict[str, Query]:

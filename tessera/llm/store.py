@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests), a temporary folder that is set as such."""
+    """The cluster's spark.checkpoint.dir; where it is unset (tests), a temporary folder that is set as such.
+    With its scheme, so that tasks which write other formats than Spark's find the same place."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
         root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
