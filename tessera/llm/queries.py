@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, licenses, pii, quality, toxicity, warc
+from tessera.llm import langid, licenses, packing, pii, quality, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary that the queries use; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "rule")
 
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op4_toxicity": op4_toxicity, "op7_licenses": op7_licenses, "op8_language": op8_language, "op9_warc": op9_warc, "op10_quality": op10_quality}
+QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op7_licenses": op7_licenses, "op8_language": op8_language, "op9_warc": op9_warc, "op10_quality": op10_quality}
 
 ORACLE_SQL: dict[str, str] = {
     # base 32 of the SHA-1: five hex digits are twenty bits, four letters
