@@ -58,4 +58,10 @@ def shingles(hashes: np.ndarray, k: int = 5) -> np.ndarray:
 
 def shingle_set(hashes: np.ndarray, k: int = 5) -> np.ndarray:
     """Sorted distinct shingles."""
-    return np.unique(shingles(hashes, k))
+    h = np.sort(shingles(hashes, k))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def signature(shingle_set_: np.ndarray) -> int:
+    """A signed 64-bit name of a set of shingles: equal sets have equal names, whatever the order of their words."""
+    return xxhash.xxh3_64_intdigest(shingle_set_.tobytes()) - (1 << 63)
