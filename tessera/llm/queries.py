@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, licenses, ngram_join, packing, pii, quality, toxicity, warc
+from tessera.llm import langid, licenses, line_dedup, ngram_join, packing, pii, quality, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_table(spark, sf_dir, "documents"))
 
@@ -73,7 +78,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "rule")
 
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op7_licenses": op7_licenses, "op8_language": op8_language, "op9_warc": op9_warc, "op10_quality": op10_quality}
+QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_line_dedup": op2_line_dedup, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op7_licenses": op7_licenses, "op8_language": op8_language, "op9_warc": op9_warc, "op10_quality": op10_quality}
 
 ORACLE_SQL: dict[str, str] = {
     # base 32 of the SHA-1: five hex digits are twenty bits, four letters
