@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, licenses, line_dedup, ngram_join, packing, pii, quality, toxicity, warc
+from tessera.llm import decontam, langid, licenses, line_dedup, ngram_join, packing, pii, quality, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -78,7 +82,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "rule")
 
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_line_dedup": op2_line_dedup, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op7_licenses": op7_licenses, "op8_language": op8_language, "op9_warc": op9_warc, "op10_quality": op10_quality}
+QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_line_dedup": op2_line_dedup, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_licenses": op7_licenses, "op8_language": op8_language, "op9_warc": op9_warc, "op10_quality": op10_quality}
 
 ORACLE_SQL: dict[str, str] = {
     # base 32 of the SHA-1: five hex digits are twenty bits, four letters
