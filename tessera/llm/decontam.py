@@ -113,7 +113,7 @@ class Index:
             at = np.flatnonzero(hit)
             for a in range(0, len(at), max(1, 2_000_000 // len(prints))):
                 part = at[a : a + max(1, 2_000_000 // len(prints))]
-                i, j = np.nonzero(np.bitwise_count(found[part][:, None] ^ prints[None, :]) <= self.radius)
+                i, j = np.divmod(np.flatnonzero(np.bitwise_count(found[part][:, None] ^ prints[None, :]) <= self.radius), len(prints))
                 yield from zip(text[part[i]].tolist(), word[part[i]].tolist(), who[j].tolist(), strict=True)
 
     def similarity(self, hashes: np.ndarray, item: int) -> float:
@@ -126,12 +126,20 @@ class Index:
         total = float((n * self.weigh(own)).sum() + (counts * weights).sum())
         return both / (total - both)
 
-    def best(self, hashes: np.ndarray, starts: set[int], item: int) -> tuple[float, int]:
-        """The best similarity of an item-sized window that starts near one of `starts`, and its first word."""
-        length, w = self.items[item][0], width_of(self.items[item][0])
-        s = stride(w)
-        tries = {min(max(p + d, 0), max(len(hashes) - length, 0)) for p in starts for d in range(-s, s + 1)}
-        return max(((self.similarity(hashes[p : p + length], item), -p) for p in tries), key=lambda x: (round(x[0], 12), x[1]))
+    def best(self, hashes: np.ndarray, places: np.ndarray, tokens: np.ndarray, starts: set[int], item: int, threshold: float) -> tuple[float, int] | None:
+        """The best similarity of an item-sized window that starts near one of `starts`, and its first word; None where no
+        window can reach the threshold. places and tokens: where the text has shingles that some item has. What a window
+        shares with the item weighs `threshold` times the item at least if it is that similar."""
+        length, own, counts, weights = self.items[item]
+        mine = np.isin(tokens, own)
+        if not mine.any():
+            return None
+        places, weight = places[mine], np.concatenate([[0.0], np.cumsum(self.weigh(tokens[mine]))])
+        w = width_of(length)
+        tries = np.unique(np.clip((np.array(sorted(starts))[:, None] + np.arange(-stride(w), stride(w) + 1)).ravel(), 0, max(len(hashes) - length, 0)))
+        shared = weight[np.searchsorted(places, tries + length)] - weight[np.searchsorted(places, tries)]
+        tries = tries[shared >= threshold * float((counts * weights).sum()) - 1e-6].tolist()
+        return max(((self.similarity(hashes[p : p + length], item), -p) for p in tries), key=lambda x: (round(x[0], 12), x[1]), default=None)
 
 
 def _matches(batches: Iterator[pa.RecordBatch], index: Index, threshold: float, words_a_turn: int) -> Iterator[pa.RecordBatch]:
@@ -145,13 +153,18 @@ def _matches(batches: Iterator[pa.RecordBatch], index: Index, threshold: float,
             nonlocal turn, held
             if held:
                 sizes = np.array([len(h) for _, h in turn], np.int64)
-                found: dict[tuple[int, int], set[int]] = {}
+                found: dict[int, dict[int, set[int]]] = {}
                 for text, word, item in index.candidates(np.concatenate([h for _, h in turn]), np.cumsum(sizes) - sizes, sizes):
-                    found.setdefault((text, item), set()).add(word)
-                for (text, item), starts in sorted(found.items()):
-                    value, start = index.best(turn[text][1], starts, item)
-                    if value >= threshold - 1e-9:
-                        rows.append((ids[turn[text][0]], item, -start, index.items[item][0], value))
+                    found.setdefault(text, {}).setdefault(item, set()).add(word)
+                for text, items in sorted(found.items()):
+                    h = turn[text][1]
+                    own = shingles(h, K)
+                    at = np.minimum(np.searchsorted(index.known, own), len(index.known) - 1)
+                    places = np.flatnonzero(index.known[at] == own)
+                    for item, starts in sorted(items.items()) if len(places) else ():
+                        best = index.best(h, places, own[places], starts, item, threshold)
+                        if best and best[0] >= threshold - 1e-9:
+                            rows.append((ids[turn[text][0]], item, -best[1], index.items[item][0], best[0]))
             turn, held = [], 0
 
         for k, text in enumerate(batch.column(1)):
