@@ -21,13 +21,20 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return keep
 
 
+def _load() -> None:
+    """The modules of queries register themselves when they are imported."""
+    from tessera.plans import graph_queries, label_queries, metric_queries, table_queries  # noqa: F401
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return queries()["order_graph_embedding"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return {k: f for k, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return {k: sql for k, (_, sql) in _FOUND.items() if sql}
