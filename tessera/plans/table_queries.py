@@ -1 +1,164 @@
-"""Queries."""
+"""Queries over sources, joins between tables, dense encodings, packing, layers and windows of events, with their SQL where there is one."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import encodings, graphs, labels, nn, packs
+from tessera.plans.graph_queries import NODES
+from tessera.plans.registry import query
+from tessera.sources import readers, smiles
+from tessera.streaming import events
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return readers.read_table(spark, f"{d}/{name}.parquet")
+
+
+def _path_graphs(spark, d):
+    nodes = graphs.order_nodes(_read(spark, d, "lineitem"))
+    return nodes, graphs.path_edges(nodes)
+
+
+_SIZE = f"{NODES}, n AS (SELECT *, CAST(count(*) OVER (PARTITION BY graph_id) AS DOUBLE) AS size FROM nodes)"
+_K = "CASE WHEN size > {k} THEN round(2 - 2 * cos(pi() * {k} / size), 5) ELSE 0 END"
+
+
+@query(f"WITH {_SIZE} SELECT graph_id, node_id, abs({_K.format(k=0)}) AS v0, {_K.format(k=1)} AS v1, {_K.format(k=2)} AS v2, {_K.format(k=3)} AS v3 FROM n")
+def laplacian_eigvals_path(spark, d):
+    """The four lowest eigenvalues; those of a path have the closed form 2 - 2 cos(pi k / n)."""
+    pe = encodings.encode(*_path_graphs(spark, d), lambda a: encodings.laplacian_eigen(a, 4)[0])
+    return pe.select("graph_id", "node_id", *[F.abs(F.round(F.col("pe")[k], 5)).alias(f"v{k}") for k in range(4)])
+
+
+@query()
+def laplacian_eigvecs(spark, d):
+    pe = encodings.encode(*_path_graphs(spark, d), lambda a: encodings.laplacian_eigen(a, 3, "sym")[1])
+    return pe.select("graph_id", "node_id", *[F.round(F.col("pe")[k], 4).alias(f"e{k}") for k in range(3)])
+
+
+_PAIR = f"{_SIZE}, r AS (SELECT a.graph_id, a.node_id AS i, b.node_id AS j, a.size, abs(a.node_id - b.node_id) AS dist FROM n a JOIN n b ON a.graph_id = b.graph_id)"
+
+
+@query(f"WITH {_PAIR} SELECT graph_id, i, j, round(2 * (size - 1) * dist, 5) AS v FROM r")
+def commute_path(spark, d):
+    return encodings.encode(*_path_graphs(spark, d), encodings.commute, "nodepair").withColumn("v", F.abs(F.round("v", 5)))
+
+
+@query(f"""WITH {_PAIR}, m AS (SELECT graph_id, i, avg(dist) AS row_mean FROM r GROUP BY ALL), g AS (SELECT graph_id, avg(dist) AS mean FROM r GROUP BY ALL), l AS (SELECT r.graph_id, r.i, r.j, -0.5::DOUBLE * (dist - a.row_mean - b.row_mean + mean) AS v FROM r JOIN m a ON a.graph_id = r.graph_id AND a.i = r.i JOIN m b ON b.graph_id = r.graph_id AND b.i = r.j JOIN g ON g.graph_id = r.graph_id)
+    SELECT x.graph_id, x.i, x.j, round(x.v - y.v, 4) + 0.0 AS v FROM l x JOIN l y ON y.graph_id = x.graph_id AND y.i = x.j AND y.j = x.j""")
+def electrostatic_path(spark, d):
+    out = encodings.encode(*_path_graphs(spark, d), encodings.electrostatic, "nodepair")
+    return out.withColumn("v", F.round("v", 4) + F.lit(0.0))
+
+
+@query(f"WITH {_PAIR} SELECT graph_id, i, j, CAST(dist AS DOUBLE) AS v FROM r")
+def hops_dense(spark, d):
+    return encodings.encode(*_path_graphs(spark, d), encodings.hops, "nodepair")
+
+
+@query()
+def rw_return_dense(spark, d):
+    pe = encodings.encode(*_path_graphs(spark, d), lambda a: encodings.walk_return(a, [1, 2, 4, 8]))
+    return pe.select("graph_id", "node_id", *[F.round(F.col("pe")[k], 6).alias(f"p{s}") for k, s in enumerate((1, 2, 4, 8))])
+
+
+def _packed(spark, d, how):
+    sizes = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).withColumn("grp", F.floor(F.col("l_orderkey") / 512))
+    return packs.pack(sizes, "grp", "l_orderkey", "n", 32, how)
+
+
+@query()
+def pack_smart(spark, d):
+    return _packed(spark, d, "smart")
+
+
+@query()
+def pack_hybrid(spark, d):
+    return _packed(spark, d, "hybrid")
+
+
+@query("SELECT n_name, p_brand, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE p_name LIKE '%1%' AND p_type IS NOT NULL GROUP BY ALL")
+def annotation_join(spark, d):
+    """Assay rows with their annotations: small tables are broadcast by their size, filters reach the scans."""
+    part = _read(spark, d, "part").where(F.col("p_name").contains("1") & F.col("p_type").isNotNull()).select("p_partkey", "p_brand")
+    supplier = _read(spark, d, "supplier").join(_read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    rows = _read(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity").join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.groupBy("n_name", "p_brand").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("SELECT a.l_partkey, a.n AS n_a, b.n AS n_b, c.n AS n_c FROM (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL) a JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL) b USING (l_partkey) JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) c USING (l_partkey)")
+def multiway_common(spark, d):
+    """Keys that all of several tables have, from one pass: a conditional count for each instead of a join for each."""
+    one = lambda f: F.count_if(F.col("l_returnflag") == f).alias(f"n_{c[f]}")
+    c = {"A": "a", "N": "b", "R": "c"}
+    return _read(spark, d, "lineitem").groupBy("l_partkey").agg(*[one(f) for f in c]).where("n_a > 0 and n_b > 0 and n_c > 0")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def semi_join_common(spark, d):
+    big = _read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return _read(spark, d, "orders").select("o_orderkey").join(big, "o_orderkey", "left_semi")
+
+
+@query("SELECT count(*) FILTER (s > 1) AS shared, count(*) AS keys FROM (SELECT doc_id, count(DISTINCT s) AS s FROM (SELECT doc_id, doc_id % 3 AS s FROM documents) GROUP BY doc_id)")
+def splits_disjoint(spark, d):
+    """How many keys are in more than one split: none where splits are disjoint."""
+    per = _read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 3).alias("s")).groupBy("doc_id").agg(F.countDistinct("s").alias("s"))
+    return per.agg(F.count_if(F.col("s") > 1).alias("shared"), F.count("*").alias("keys"))
+
+
+@query("SELECT p_partkey, c, v FROM (SELECT p_partkey, unnest(['p_partkey', 'p_retailprice', 'p_size']) AS c, unnest([CAST(p_partkey AS DOUBLE), p_retailprice, CAST(p_size AS DOUBLE)]) AS v FROM part) WHERE c <> 'p_partkey'")
+def wildcard_label_columns(spark, d):
+    part = _read(spark, d, "part")
+    chosen = readers.choose_columns(part.columns, ["*price", "p_siz*"])
+    return part.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in chosen])).alias("x")).select("p_partkey", "x.*")
+
+
+@query("SELECT r.r_name, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region r ON r_regionkey = n_regionkey GROUP BY ALL UNION ALL SELECT r.r_name || '*', count(*) FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region r ON r_regionkey = n_regionkey GROUP BY ALL")
+def multi_file_union(spark, d):
+    places = _read(spark, d, "nation").join(_read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    rows = _read(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.lit("").alias("mark")).unionByName(_read(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.lit("*").alias("mark")))
+    return rows.join(places, F.col("k") == F.col("n_nationkey")).groupBy(F.concat("r_name", "mark").alias("r_name")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_labels(spark, d):
+    return _read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT vec_id, round(greatest(0.5::DOUBLE * embedding[1] - 0.25::DOUBLE * embedding[2] + 0.1::DOUBLE, 0), 5) AS h0, round(greatest(embedding[3] + CAST(embedding[4] AS DOUBLE) - 0.2::DOUBLE, 0), 5) AS h1 FROM embeddings")
+def fc_layer_tiny(spark, d):
+    h = nn.linear(F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 4), [[0.5, -0.25, 0, 0], [0, 0, 1, 1]], [0.1, -0.2], "relu")
+    return _read(spark, d, "embeddings").select("vec_id", *[F.round(h[k], 5).alias(f"h{k}") for k in range(2)])
+
+
+@query("SELECT epoch, round(CASE WHEN epoch < 10 THEN 0.001::DOUBLE * epoch / 10 ELSE 0.001::DOUBLE * greatest(100 - epoch, 0) / 90 END, 9) AS lr FROM range(0, 101) t(epoch)")
+def warmup_lr_schedule(spark, d):
+    return spark.range(101).select(F.col("id").alias("epoch"), F.round(nn.warmup_lr(F.col("id"), 0.001, 10, 100), 9).alias("lr"))
+
+
+@query("SELECT graph_id, v FROM (SELECT l_orderkey AS graph_id, round(sum(l_quantity), 4) AS v FROM lineitem GROUP BY ALL UNION ALL SELECT l_orderkey, round(avg(l_discount), 9) FROM lineitem GROUP BY ALL)")
+def encoder_pool_concat(spark, d):
+    """Outputs of two encoders under one key, a row each."""
+    g = _read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("graph_id")).agg(F.round(F.sum("l_quantity"), 4).alias("a"), F.round(F.avg("l_discount"), 9).alias("b"))
+    return g.select("graph_id", F.explode(F.array("a", "b")).alias("v"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def events_tumbling(spark, d):
+    """Batch form of the windowed stream (the tests run both)."""
+    return events.windowed(_read(spark, d, "events")).withColumn("total", F.round("total", 2))
+
+
+@query()
+def smiles_featurize(spark, d):
+    """A few molecules through the parser, whatever the tables hold: SMILES are not among them."""
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate(("C1=CC=CC=C1", "CC(=O)O", "[NH4+].[Cl-]", "c1ccc2ccccc2c1", "XXX"))], "row_id long, SMILES string")
+    return smiles.with_graphs(rows, "SMILES").select("row_id", "SMILES", "error", "num_nodes", F.size("bonds").alias("n_bonds"), F.expr("aggregate(atoms, 0, (a, x) -> a + x.hydrogens)").alias("hydrogens"))
+
+
+@query("SELECT l_suppkey, l_partkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS r FROM lineitem) WHERE r = 1")
+def first_row_survivors(spark, d):
+    return labels.keep(_read(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_quantity", "l_orderkey", "l_linenumber"), ["l_suppkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")]).select("l_suppkey", "l_partkey", "l_quantity")
