@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ACTIVATIONS = {
     "none": lambda x: x, "relu": lambda x: F.greatest(x, F.lit(0.0)), "sigmoid": lambda x: 1 / (1 + F.exp(-x)), "tanh": F.tanh,
@@ -52,7 +53,7 @@ def mlp(rows: DataFrame, column: str, layers: list[tuple[np.ndarray, np.ndarray,
     stays NULL. Weights travel with the task, so they should be megabytes at most."""
     for _, _, act in layers:
         activation(act)
-    schema = rows.schema.add(out, "array<double>")
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
     at = rows.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
