@@ -10,8 +10,11 @@ from tessera.operators.splits import seeded
 
 def _numbered(rows: DataFrame, order: list, blocks: int = 200) -> DataFrame:
     """rows with rn from 0 in the given order. Rows are dealt out by ranges of the order, numbered within a range, and shifted by
-    the ranges before; so a total order needs no task that sees all rows."""
-    dealt = rows.repartitionByRange(blocks, *order).withColumn("_p", F.spark_partition_id())
+    the ranges before; so a total order needs no task that sees all rows.
+
+    The dealt rows are read twice. They are persisted, for the ranges come from a sample and a second exchange might draw
+    others; what is lost with an executor is dealt again by the same ranges."""
+    dealt = rows.repartitionByRange(blocks, *order).withColumn("_p", F.spark_partition_id()).persist()
     sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
     return dealt.withColumn("_own", own).join(F.broadcast(sizes), "_p").withColumn("rn", (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before", "_p")
