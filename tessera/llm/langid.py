@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.store import draw
+
 #: Families of ISO 639-1 languages. A language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fo af fy lb yi", "romance": "fr es it pt ro ca gl oc", "slavic": "ru uk be pl cs sk bg sr hr bs sl mk",
@@ -127,8 +129,7 @@ def training_rows(docs: DataFrame, learnable, per_lang: int, id_col: str, text_c
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).where(learnable).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
     share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
-    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    chosen = rows.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    chosen = rows.where(draw(seed, "id") < F.coalesce(share[F.col("lang")], F.lit(0.0)))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

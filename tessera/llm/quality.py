@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.store import drawn
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 _INDEX_BITS = 26
@@ -170,7 +172,7 @@ def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, id_col
     come to the driver. No labels, or labels of one kind: no rules.
     """
     chosen = labels.select(labels[id_col].alias("__id"), labels[label_col].cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
-    chosen = chosen.orderBy(F.xxhash64("__id", F.lit(seed)), "__id", "__y").limit(max_labelled)
+    chosen = drawn(chosen, max_labelled, seed, "__id", "__y")
     own = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text")).join(F.broadcast(chosen), "__id")
     of = measures()
     rows = with_statistics(own, "__text").select("__id", "__y", *[v.alias(k) for k, v in of.items()]).toPandas().sort_values(["__id", "__y"], kind="stable")

@@ -8,7 +8,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +32,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def draw(seed: int, *keys: str) -> Column:
+    """A number from 0 to 1 that depends on the keys alone."""
+    return F.xxhash64(*keys, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+
+
+def drawn(rows: DataFrame, most: int, seed: int, *keys: str) -> DataFrame:
+    """The `most` rows with the smallest draw(). Only about twice as many are sorted: the share that a count of the rows allows
+    is taken first, so no task sends `most` rows of its own to the one that ends the sort."""
+    share = min(1.0, 2.0 * most / max(rows.count(), 1))
+    return rows.where(draw(seed, *keys) < share).orderBy(draw(seed, *keys), *keys).limit(most)

@@ -13,6 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.store import drawn
+from tessera.llm.words import WordHashes, shingles, words_of
+
 #: Words that mark a category in a document labelled toxic (weak labels for the first links of the chain).
 SEEDS = {
     "insult": "idiot moron loser clown stupid fool dumb imbecile jerk coward liar ugly lazy",
@@ -138,10 +141,8 @@ def fit_chain(sets: list[np.ndarray], toxic: np.ndarray, fold: np.ndarray, folds
 def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int, id_col: str, text_col: str, label_col: str, seed: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Word sets, labels and folds of at most `max_labelled` labelled documents, one of each group of near copies (a group
     shares its smallest hashed five-word shingle), for copies would count a rare word many times."""
-    from tessera.llm.words import WordHashes, shingles, words_of
-
     chosen = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    chosen = chosen.orderBy(F.xxhash64("id", F.lit(seed)), "id", "y").limit(max_labelled)
+    chosen = drawn(chosen, max_labelled, seed, "id", "y")
     own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
