@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.store import new_path, saved
+from tessera.llm.store import drawn, new_path, saved
 
 #: Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
@@ -30,18 +30,28 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
+def _name(page_id: int | None) -> str:
+    return f"urn:page:{'null' if page_id is None else page_id}"
+
+
+def _number(name: str | None) -> int | None:
+    """The page id in <urn:page:ID>."""
+    last = (name or "").strip("<>").rpartition(":")[2]
+    return None if last in ("", "null") else int(last)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
     """A response with its payload, or a revisit with the HTTP head alone, whose Content-Length still tells the payload's size."""
     revisit = refers_to is not None
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
-    target = " ".join((url or f"urn:page:{page_id}").split())
+    target = " ".join((url or _name(page_id)).split())
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {target}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{_name(page_id)}>", f"WARC-Date: {date}", f"WARC-Target-URI: {target}",
         "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest(payload)}", f"Content-Length: {len(block)}",
     ]
     if revisit:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"]
+        lines += [f"WARC-Refers-To: <{_name(refers_to)}>", f"WARC-Profile: {REVISIT_PROFILE}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
@@ -49,7 +59,7 @@ def train_dictionary(pages: DataFrame, id_col: str, url_col: str, html_col: str,
     """Dictionary from the records of at most `max_pages` pages of smallest hashed id, `max_chars` of each at most: a bounded
     sample that only steers compression. Empty where there is too little to train on."""
     rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"), F.substring(F.coalesce(pages[html_col].cast("string"), F.lit("")), 1, max_chars).alias("html"))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(max_pages).collect()
+    sample = drawn(rows, max_pages, 1, "id").collect()
     samples = [record(r["id"] or 0, r["url"], r["html"].encode("utf-8", "surrogatepass"), None, date) for r in sample]
     if len(samples) < 16 or sum(map(len, samples)) < 8 * size:
         return b""
@@ -92,7 +102,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
     Of rows with equal payloads of at least `min_bytes` bytes, that with the smallest id is a response and the others are
     revisits of it; rows that repeat that id and payload are responses too. Null html is an empty payload; a null url
-    becomes urn:page:<id>; a row without an id is an error (a record needs a name). An empty table gives no file. Columns
+    becomes urn:page:<id>; rows without an id are responses named urn:page:null, read back as null. An empty table gives no file. Columns
     besides the three named are not read. Only digests are shuffled to find equal payloads, with partial sums; pages are
     shuffled only where the list of revisits is too large for Catalyst to broadcast.
     """
@@ -113,8 +123,6 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             for batch in batches:
                 for k in range(batch.num_rows):
                     page_id, url, html, to = (batch.column(c)[k].as_py() for c in range(4))
-                    if page_id is None:
-                        raise ValueError("a page without an id cannot be archived")
                     open_file = open_file or _File(system, folder, dictionary, level)
                     open_file.add(record(page_id, url, html.encode("utf-8", "surrogatepass"), to, date))
                     if open_file.bytes >= roll_bytes:
@@ -207,8 +215,7 @@ def read(manifest: DataFrame, files: int | None = None) -> DataFrame:
                     said = h["warc-payload-digest"].removeprefix("sha1:")
                     if h["warc-type"] == "response" and (digest(payload) != said or len(payload) != size):
                         raise ValueError(f"{h['warc-record-id']} in {uri} differs from its digest")
-                    number = lambda x: int(x.strip("<>").rpartition(":")[2]) if x else None
-                    rows.append((number(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], number(h.get("warc-refers-to")), size, said, payload.decode("utf-8", "surrogatepass") if h["warc-type"] == "response" else None))
+                    rows.append((_number(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], _number(h.get("warc-refers-to")), size, said, payload.decode("utf-8", "surrogatepass") if h["warc-type"] == "response" else None))
                     held += len(block)
                     if held > 8 << 20:
                         yield batch_of(rows)
