@@ -429,6 +429,8 @@ def test_warc_round_trip(spark):
     with open(path, "rb") as f:
         assert int.from_bytes(f.read(4), "little") == warc.SKIPPABLE
     assert warc.archives(spark, pages.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, None, "same"), (5, "u", "same"), (5, "u", "same"), (7, "u v", "same")], "page_id long, url string, html string")
+    assert sorted(((r["page_id"] or -1), r["record_type"], r["refers_to"]) for r in warc.archives(spark, odd).collect()) == [(-1, "response", None), (5, "response", None), (5, "response", None), (7, "revisit", 5)]
 
 
 def test_warc_notices_damage(spark):
@@ -494,6 +496,15 @@ def test_rules_are_a_list_of_conditions():
     assert (hit == bad).mean() > 0.97 and quality.learn_rules(x, np.zeros(800, bool), ["a", "b", "c"]) == []
 
 
+def test_documents_without_an_id_crash_nothing(spark):
+    text = prose(60, 1)
+    docs = spark.createDataFrame([(None, text), (None, text), (1, text), (2, None), (2, text), (2, text)], "doc_id long, text string")
+    bench, toxic = spark.createDataFrame([(1, text)], "item_id long, text string"), spark.createDataFrame([(1, 0, 1), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
+    assert pii.find_pii(docs).count() == line_dedup.dedup(docs).count() == ngram_join.classes(docs).count() == toxicity.score(docs, toxic).count() == quality.judge(docs, toxic).count() == 6 + 0 * licenses.scan(docs).count()
+    assert packing.pack(docs, tokenizer_path()).count() == 6 and decontam.contaminated(docs, bench).count() == 5
+    assert langid.identify(docs.withColumn("lang", F.lit("en"))).count() == 6
+
+
 # ------------------------------------------------------------------ pipeline
 
 
