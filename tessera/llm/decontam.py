@@ -22,15 +22,15 @@ K = 5
 
 
 def stride(width: int) -> int:
-    return max(1, width // 10)
+    return max(1, width // 6)
 
 
 def width_of(words: int) -> int:
-    """The largest width of the grid (1 to 12, then by eighths) that an item of so many words can have."""
+    """The largest width of the grid (1 to 12, then by fifths) that an item of so many words can have."""
     best, w = 1, 1
     while w + stride(w) - 1 <= words:
         best = w
-        w = w + 1 if w < 12 else w + max(1, w // 8)
+        w = w + 1 if w < 12 else w + w // 5
     return best
 
 
