@@ -76,12 +76,12 @@ class _Blocks:
 
     def clear(self) -> None:
         self.tokens: list[np.ndarray] = []
-        self.docs: list[tuple[int, int, int]] = []
+        self.docs: list[tuple[int, int]] = []
         self.held = 0
 
     def add(self, tokens: np.ndarray, sig: int, n: int, common: int) -> None:
         self.tokens.append(tokens)
-        self.docs.append((sig, n, common))
+        self.docs.append((sig, n << 32 | common))
         self.held += len(tokens)
 
     def rows(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
@@ -117,7 +117,7 @@ def _split(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_postings(docs: DataFrame, common, k: int, blocks: int, num: int, den: int, most: int = 1_000_000) -> DataFrame:
     """Blocks of the prefixes' uncommon n-grams. In a block below 0 a row a document that has common ones: docs holds (sig,
-    n, number of common ones), tokens the common ones, slot which of them are in its prefix."""
+    n and number of common ones), tokens the common ones, slot which of them are in its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, out, seen = WordHashes(), _Blocks(blocks, most), set()
@@ -134,7 +134,7 @@ def prefix_postings(docs: DataFrame, common, k: int, blocks: int, num: int, den:
                 first = n - (-(-num * n // den)) + 1
                 out.add(light[:first], name, n, len(heavy))
                 if len(heavy):
-                    rows.append((-1 - name % blocks, common.value[heavy].tobytes(), np.arange(max(0, first - len(light)), dtype=np.int32).tobytes(), np.array([name, n, len(heavy)], np.int64).tobytes()))
+                    rows.append((-1 - name % blocks, common.value[heavy].tobytes(), np.arange(max(0, first - len(light)), dtype=np.int32).tobytes(), np.array([name, n << 32 | len(heavy)], np.int64).tobytes()))
                 if out.held >= most:
                     rows += out.rows()
             yield _batch(rows)
@@ -163,6 +163,12 @@ def full_postings(docs: DataFrame, common, k: int, blocks: int, most: int = 1_00
     return docs.mapInArrow(run, _BLOCK)
 
 
+def _unpacked(docs: bytes) -> np.ndarray:
+    """sig, n, common of each document of a block: n and common share a long."""
+    d = np.frombuffer(docs, np.int64).reshape(-1, 2)
+    return np.column_stack([d[:, 0], d[:, 1] >> 32, d[:, 1] & 0xFFFFFFFF])
+
+
 _MEMBER = pa.struct([("sig", pa.int64()), ("n", pa.int32()), ("common", pa.int32())])
 
 
@@ -180,10 +186,10 @@ def rows_of_blocks(postings: DataFrame, longest: int) -> DataFrame:
                 if d not in seen:
                     seen.add(d)
                     heavy = np.frombuffer(t, np.int64)
-                    found.append((None, np.frombuffer(d, np.int64).reshape(-1, 3), 0, heavy, heavy[np.frombuffer(slot, np.int32)]))
+                    found.append((None, _unpacked(d), 0, heavy, heavy[np.frombuffer(slot, np.int32)]))
         else:
             token = np.concatenate([np.frombuffer(t, np.uint64) for t in columns[0]])
-            doc = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 3)[np.frombuffer(slot, np.int32)] for _, slot, d in zip(*columns, strict=True)])
+            doc = np.concatenate([_unpacked(d)[np.frombuffer(slot, np.int32)] for _, slot, d in zip(*columns, strict=True)])
             order = np.argsort(token)
             token, doc = token[order], doc[order]
             at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -319,10 +325,17 @@ def classes(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DEN, id_col:
     first = saved(profile(rows, k, 0.0, 4), "profile")
     own = first.where("kind = 0").select("id", "n", "sig")
     groups = saved(own.where("sig is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "groups")
-    often = first.where("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") > longest // 2).orderBy(F.desc("n"), "sig").limit(most_common)
+    often = saved(first.where("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") > longest // 2), "often")
+    sizes = {r["b"]: r["n"] for r in often.groupBy(F.floor(F.log2("n") * 4).alias("b")).agg(F.count("*").alias("n")).collect()}  # a few hundred rows: counts by quarters of powers of two
+    floor, taken = max(sizes, default=0) + 1, 0
+    for b in sorted(sizes, reverse=True):
+        if (taken := taken + sizes[b]) > most_common:
+            break
+        floor = b
+    often = often.where(F.floor(F.log2("n") * 4) >= floor)
     common = spark.sparkContext.broadcast(np.sort(np.array([r["sig"] for r in often.select("sig").collect()], np.int64).view(np.uint64)))
     total = groups.agg(F.sum("n")).first()[0] or 0
-    per = lambda postings: int(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), postings // postings_a_block + 1))
+    per = lambda postings: int(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), postings // postings_a_block + 1))
 
     # 1. the prefixes
     blocks = per(total * (den - num) // den)
