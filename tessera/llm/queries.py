@@ -35,7 +35,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), radius=None)
     return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("chars_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 

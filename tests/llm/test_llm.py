@@ -155,6 +155,36 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(table(spark, texts)).columns == ["doc_id", "text", "id", "n", "n_lines", "n_removed"]
 
 
+def typed(text, k, seed):
+    r, w = random.Random(seed), list(text)
+    for at in r.sample(range(len(w)), k):
+        w[at] = "#"
+    return "".join(w)
+
+
+def test_line_dedup_finds_edited_lines_of_any_length(spark):
+    base = [prose(n, 500 + n) for n in (6, 12, 20, 50)]
+    texts = base + [c for t in base for c in (typed(t, max(1, len(t) // 30), 2), "q" + t)] + [edited(base[3], 2, 3)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(table(spark, texts), radius=None).collect()}
+    assert [got[k] for k in range(4)] == base and all(got[k] == "" for k in range(4, len(texts)))
+
+
+def test_pieces_miss_no_short_pair():
+    r, plan = random.Random(2), collections.defaultdict(list)
+    for chars, tag, start, size in line_dedup.pieces(0.9):
+        plan[chars].append((tag, start, size))
+    for _ in range(3000):
+        a = "".join(r.choice("ab ") for _ in range(r.randint(10, 49)))
+        b = list(a)
+        edits = r.randint(1, len(a) // 10)
+        for _ in range(edits):
+            at = r.randrange(len(b))
+            b[at : at + 1] = r.choice(([], ["c"], ["c", b[at]]))
+        b = "".join(b)
+        if sorted((len(a), len(b)))[0] >= 10 and edits <= max(len(a), len(b)) // 10:
+            assert {(t, a[p : p + z]) for t, p, z in plan[len(a)]} & {(t, b[p : p + z]) for t, p, z in plan[len(b)]}, (a, b)
+
+
 def test_long_lines_have_the_same_simhash(spark, monkeypatch):
     docs = table(spark, [prose(900, k) for k in range(3)] + [prose(20, 9)])
     whole = {r["k"]: r["sim"] for r in line_dedup.line_table(docs, "doc_id", "text").collect()}
