@@ -58,19 +58,16 @@ def tokens(text: str) -> list[str]:
 
 
 def blocks(text: str, around: int = 60, gap: int = 25) -> list[tuple[int, int]]:
-    """Candidate spans: for every cue the rest of its line, `around` words to each side at most, spans less than `gap`
-    characters apart joined. Only texts with a cue are looked at; they are looked at whole."""
+    """Candidate spans: `around` words to each side of every cue at most, across line ends, spans less than `gap` characters
+    apart joined. Only texts with a cue are looked at; they are looked at whole."""
     spans: list[list[int]] = []
     for m in _CUE.finditer(text):
-        if spans and m.start() < spans[-1][1]:
-            continue
-        a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        b = len(text) if b < 0 else b
         # a word is taken to have at most 40 characters here, so that a line of a megabyte isn't split for each cue
-        left = [w.start() for w in _WORD.finditer(text, max(a, m.start() - 40 * around), m.start())]
-        right = [w.end() for w in _WORD.finditer(text, m.end(), min(b, m.end() + 40 * around))]
-        a = left[-around] if len(left) > around else left[0] if left and a < left[0] and text[a : left[0]].strip() else a
-        b = right[around] if len(right) > around else right[-1] if right and text[right[-1] : b].strip() else b
+        inside = spans and m.start() < spans[-1][1]
+        left = [] if inside else [w.start() for w in _WORD.finditer(text, max(0, m.start() - 40 * around), m.start())]
+        right = [w.end() for w in _WORD.finditer(text, m.end(), min(len(text), m.end() + 40 * around))]
+        a = left[-around] if len(left) > around else left[0] if left else m.start()
+        b = right[around] if len(right) > around else right[-1] if right else m.end()
         if spans and a - spans[-1][1] < gap:
             spans[-1][1] = max(b, spans[-1][1])
         else:

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -399,6 +400,16 @@ def test_licenses(spark):
     assert licenses.scan(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * "])
+def test_wrapped_notices(mark):
+    scanner = licenses.Scanner(licenses.TEMPLATES, 9, 6, 0.1, 0.2)
+    for name, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            text = "import os\n" + "\n".join(mark + x for x in textwrap.wrap(notice, 72, break_on_hyphens=False)) + "\n\nx = 1\n"
+            found = [scanner.match(text[a:b]) for a, b in licenses.blocks(text)]
+            assert len(found) == 1 and found[0] and (found[0][0] if isinstance(found[0], tuple) else found[0][0][0]) == name, (notice, found)
+
+
 def test_wording_is_the_least_number_of_edits():
     r = random.Random(1)
     for _ in range(200):
