@@ -4,6 +4,7 @@ zstd dictionary. Templates are ranked by how much they shrink a block, and the b
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,6 +101,7 @@ class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]], level: int, top: int, tolerance: float, least_reduction: float):
         self.names = [(k, t) for k, ts in templates.items() for t in ts]
         self.words = [tokens(t) for _, t in self.names]
+        self.counted = [Counter(ws) for ws in self.words]
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.primed = []
         for _, t in self.names:
@@ -108,33 +110,56 @@ class Scanner:
             self.primed.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False))
         self.top, self.tolerance, self.least = top, tolerance, least_reduction
 
-    def match(self, block: str) -> tuple | None:
-        """(license, template number, reduction, word edits, words of the template) of the confirmed winner, or None."""
+    def match(self, block: str) -> list[tuple]:
+        """(license, template number, reduction, word edits, words of the template) of each confirmed notice, in their order.
+        The best one's wording is taken out, and what is left before and after it is matched again."""
+        out, parts = [], [(0, len(block))]
+        while parts:
+            a, b = parts.pop()
+            if found := self.best(block[a:b]):
+                best, start, end = found
+                out.append((a + start, best))
+                parts += [(a, a + start), (a + end, b)]
+        return [best for _, best in sorted(out)]
+
+    def best(self, block: str) -> tuple[tuple, int, int] | None:
+        """The confirmed winner and where its wording starts and ends, or None."""
+        spans = [m.span() for m in _TOKEN.finditer(block)]
+        own = [block[a:b].lower() for a, b in spans]
+        counts = Counter(own)
+        # words of a template that the block lacks are an edit each, at least
+        able = [k for k, ws in enumerate(self.counted) if (ws - counts).total() <= self.tolerance * len(self.words[k])]
+        if not able:
+            return None
         data = block.encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(data))
-        saving = np.array([alone - len(c.compress(data)) for c in self.primed])
-        own = tokens(block)
-        best = None
+        saving = {k: alone - len(self.primed[k].compress(data)) for k in able}
         # templates that save alike are all confirmed, so that the ranking never breaks a tie by chance
-        order = np.argsort(-saving, kind="stable")
-        floor = saving[order[min(self.top, len(order)) - 1]]
-        for k in order:
+        floor = sorted(saving.values(), reverse=True)[min(self.top, len(able)) - 1]
+        confirmed = []
+        for k in able:
             if saving[k] < floor or saving[k] <= 0 or saving[k] < self.least * min(alone, len(self.names[k][1])):
                 continue
-            edits, _, _ = wording(self.words[k], own)
+            edits, start, end = wording(self.words[k], own)
             if edits <= self.tolerance * len(self.words[k]):
-                key = (edits / len(self.words[k]), -len(self.words[k]), -saving[k], k)
-                if best is None or key < best[0]:
-                    best = (key, (self.names[k][0], int(k), float(saving[k] / alone), edits, len(self.words[k])))
-        return best and best[1]
+                confirmed.append(((edits / len(self.words[k]), -len(self.words[k]), -saving[k], k), edits, start, end))
+        if not confirmed:
+            return None
+        (_, _, _, k), edits, start, end = min(confirmed)
+        best = (self.names[k][0], int(k), float(saving[k] / alone), edits, len(self.words[k]))
+        # longer wordings of the same license around it are the same notice
+        same = [(s, e) for (_, _, _, j), _, s, e in confirmed if self.names[j][0] == best[0] and s < end and e > start]
+        start, end = min(s for s, _ in same), max(e for _, e in same)
+        return best, spans[start][0], spans[end - 1][1]
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, level: int = 9, top: int = 6, tolerance: float = 0.1, least_reduction: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each block that a template explains: id, license, start and end of the block (code points), reduction (share
-    of the block's compressed size that the template saves), n_edits (words that differ from the template's wording),
+    """A row for each notice of a block that a template explains: id, license, start and end of the block (code points), reduction
+    (share that the template saves of the compressed size of the block, or of what other notices leave of it), n_edits (words that differ from the template's wording),
     n_words (of the template), exact.
 
-    A template is confirmed where at most `tolerance` of its words differ; among the `top` templates by saving (and all that
+    Each notice that is confirmed is taken out and the rest matched again, so a block with several gives a row for each. A
+    template is confirmed where at most `tolerance` of its words differ; among the `top` templates by saving (and all that
     tie with the last of them) the one with the least differences wins, then the longest. Null and empty texts and texts
     without a notice give no row; repeated rows give theirs each; empty tables give an empty one; other columns are not
     read. A map, no shuffle.
@@ -149,7 +174,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, l
             for k, text in enumerate(batch.column(1).to_pylist()):
                 if text:
                     for a, b in blocks(text):
-                        if m := scanner.match(text[a:b]):
+                        for m in scanner.match(text[a:b]):
                             rows.append((batch.column(0)[k].as_py(), m[0], a, b, m[2], m[3], m[4], m[3] == 0))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()))], names=["id", "license", "start", "end", "reduction", "n_edits", "n_words", "exact"])
 

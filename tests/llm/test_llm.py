@@ -410,6 +410,16 @@ def test_wrapped_notices(mark):
             assert len(found) == 1 and found[0] and (found[0][0] if isinstance(found[0], tuple) else found[0][0][0]) == name, (notice, found)
 
 
+def test_every_notice_of_a_block_is_found(spark):
+    texts = ["Licensed under the MIT License.\nLicensed under the Apache License, Version 2.0.", "Released under the MIT License. All rights reserved.", licenses.TEMPLATES["Apache-2.0"][1] + "\n" + licenses.TEMPLATES["ISC"][0]]
+    got = collections.defaultdict(list)
+    for r in licenses.scan(table(spark, texts)).collect():
+        got[r["doc_id"]].append(r["license"])
+    assert {k: sorted(v) for k, v in got.items()} == {0: ["Apache-2.0", "MIT"], 1: ["MIT", "Proprietary"], 2: ["Apache-2.0", "ISC"]}
+    scanner = licenses.Scanner(licenses.TEMPLATES, 9, 6, 0.1, 0.2)
+    assert [m[0] for m in scanner.match("All rights reserved.\n" * 300)] == ["Proprietary"] * 300
+
+
 def test_wording_is_the_least_number_of_edits():
     r = random.Random(1)
     for _ in range(200):
