@@ -7,16 +7,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests), a temporary folder that is set as such.
+    """The cluster's spark.checkpoint.dir; where it is unset on a local master (tests), a temporary folder that is set as such.
     With its scheme, so that tasks which write other formats than Spark's find the same place."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
         root = spark.sparkContext.getCheckpointDir()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
@@ -31,7 +34,29 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read back with the schema it was written with."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables that saved() returned, once nothing reads them any more; a frame built on them can't be run after this."""
+    for table in tables:
+        if path := _PATHS.pop(table, None):
+            spark = table.sparkSession
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of df has, for columns that an operator adds and takes away again."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
 
 
 def draw(seed: int, *keys: str) -> Column:

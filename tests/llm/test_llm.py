@@ -148,12 +148,12 @@ def test_line_dedup(spark):
     shared, base = prose(12, 1), prose(40, 2)
     texts = [None, "", shared + "\n" + prose(20, 3), "Head\n" + shared.upper() + "\n\nx", base, base + "s", prose(9, 4) + "\n" + base[:-1] + "z", shared, "a | b | c\nd | e | f", "  \n\t", "y\n" * 30]
     texts += [prose(60, 7) if k % 2 else edited(prose(60, 7), 1, k) for k in range(8)]
-    got = {r["doc_id"]: r for r in line_dedup.dedup(table(spark, texts)).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.dedup(table(spark, texts), radius=3).collect()}
     want = lines_brute(dict(enumerate(texts)), 3, 0.9)
     assert {k: r["text"] for k, r in got.items()} == want
     assert got[3]["n_lines"] == 3 and got[7]["n_removed"] == 1
-    assert line_dedup.dedup(table(spark, [])).count() == 0
-    assert line_dedup.dedup(table(spark, texts)).columns == ["doc_id", "text", "id", "n", "n_lines", "n_removed"]
+    assert line_dedup.dedup(table(spark, []), radius=3).count() == line_dedup.dedup(table(spark, [])).count() == 0
+    assert line_dedup.dedup(table(spark, texts), radius=3).columns == ["doc_id", "text", "id", "n", "n_lines", "n_removed"]
 
 
 def typed(text, k, seed):
@@ -170,20 +170,48 @@ def test_line_dedup_finds_edited_lines_of_any_length(spark):
     assert [got[k] for k in range(4)] == base and all(got[k] == "" for k in range(4, len(texts)))
 
 
-def test_pieces_miss_no_short_pair():
-    r, plan = random.Random(2), collections.defaultdict(list)
-    for chars, tag, start, size in line_dedup.pieces(0.9):
-        plan[chars].append((tag, start, size))
-    for _ in range(3000):
-        a = "".join(r.choice("ab ") for _ in range(r.randint(10, 49)))
-        b = list(a)
-        edits = r.randint(1, len(a) // 10)
-        for _ in range(edits):
-            at = r.randrange(len(b))
-            b[at : at + 1] = r.choice(([], ["c"], ["c", b[at]]))
-        b = "".join(b)
-        if sorted((len(a), len(b)))[0] >= 10 and edits <= max(len(a), len(b)) // 10:
-            assert {(t, a[p : p + z]) for t, p, z in plan[len(a)]} & {(t, b[p : p + z]) for t, p, z in plan[len(b)]}, (a, b)
+def test_line_dedup_recall_against_edit_similarity(spark):
+    """No SimHash or sketch here: of all pairs of lines with an edit similarity of 0.9 or more, those in one group."""
+    r = random.Random(12)
+    base = [prose(r.choice([4, 8, 15, 30, 60]), 700 + k) for k in range(60)]
+    lines = [t for t in base if len(t) >= 10]
+    for k, t in enumerate(base):
+        w = t.split()
+        for _ in range(2):
+            x = list(w)
+            for _ in range(max(1, len(w) // 16)):  # a word replaced, put in or left out; else a letter is
+                at = r.randrange(len(x))
+                x[at : at + 1] = r.choice(([r.choice(VOCABULARY)], [x[at], r.choice(VOCABULARY)], []))
+            lines.append(" ".join(x) if len(t) > 80 and x else typed(t, 1, k))
+    lines = sorted(set(lines))
+    texts = {k: t for k, t in enumerate(lines)}
+
+    def similar(a, b):
+        most = int(max(len(a), len(b)) * 0.1 + 1e-9)
+        if abs(len(a) - len(b)) > most:
+            return False
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            if min(new) > most:
+                return False
+            row = new
+        return row[-1] <= most
+
+    pairs = [(a, b) for a in texts for b in range(a) if similar(texts[a], texts[b])]
+    docs = table(spark, list(texts.values()))
+    raw = line_dedup._normal_lines(docs, "doc_id", "text").withColumns({"k": F.xxhash64("line"), "chars": F.length("line")}).withColumn("least", line_dedup.sketch(F.col("words"), F.col("line"), F.col("chars")))
+    nodes = raw.select("k", "chars", F.struct("id", "th", "pos").alias("at"), *[F.get("least", F.lit(i)).alias(q) for i, q in enumerate(line_dedup._SKETCH)])
+    name = {x["id"]: x["k"] for x in raw.select("id", "k").collect()}
+    found = line_dedup.links(nodes, docs, None, 0.9, "doc_id", "text")
+    group = {x["node"]: x["component"] for x in components.components(found).collect()}
+    of = lambda k: group.get(name[k], name[k])
+    caught = sum(of(a) == of(b) for a, b in pairs)
+    assert len(pairs) > 60 and caught >= 0.95 * len(pairs), (caught, len(pairs))
+    back = {v: k for k, v in name.items()}
+    assert all(similar(texts[back[x["a"]]], texts[back[x["b"]]]) for x in found.collect())
 
 
 def test_long_lines_have_the_same_simhash(spark, monkeypatch):
