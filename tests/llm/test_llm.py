@@ -202,7 +202,7 @@ def test_line_dedup_recall_against_edit_similarity(spark):
 
     pairs = [(a, b) for a in texts for b in range(a) if similar(texts[a], texts[b])]
     docs = table(spark, list(texts.values()))
-    raw = line_dedup._normal_lines(docs, "doc_id", "text").withColumns({"k": F.xxhash64("line"), "chars": F.length("line")}).withColumn("least", line_dedup.sketch(F.col("words"), F.col("line"), F.col("chars")))
+    raw = line_dedup._normal_lines(docs, "doc_id", "text").withColumns({"k": F.xxhash64("line"), "chars": F.length("line")}).withColumn("least", line_dedup.sketch(F.col("line"), F.col("chars")))
     nodes = raw.select("k", "chars", F.struct("id", "th", "pos").alias("at"), *[F.get("least", F.lit(i)).alias(q) for i, q in enumerate(line_dedup._SKETCH)])
     name = {x["id"]: x["k"] for x in raw.select("id", "k").collect()}
     found = line_dedup.links(nodes, docs, None, 0.9, "doc_id", "text")
