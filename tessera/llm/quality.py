@@ -16,12 +16,9 @@ from tessera.llm.store import drawn
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
-_INDEX_BITS = 26
-
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-
 def _per(a: str, b: str) -> Column:
     return F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
 
@@ -39,26 +36,23 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n_adjacent_repeats and n_shouts (long), and __counted (true; see below). Null text: all 0. Columns of docs with these names are replaced.
 
     n_repeat_words: each window of five words is hashed; where a text has no two equal windows (most) that ends it. Else the
-    windows are sorted by (hash, place) packed into one long, neighbours compared by their whole hash, and the words that
-    the repeated windows cover are counted from their sorted places: n log n in the words of a text, without a shuffle.
+    windows are sorted by (hash, place), neighbours compared by hash, and the words that the repeated windows cover are counted
+    from their sorted places: n log n in the words of a text, at any length, without a shuffle.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     tmp = "__q_"
     c = lambda name: F.col(tmp + name)
-    place = F.lit((1 << _INDEX_BITS) - 1).cast("long")
-    at = lambda packed: F.get(c("windows"), packed.bitwiseAND(place).cast("int"))
 
     def repeated(x: Column, k: Column) -> Column:
-        own = at(x)
-        return F.coalesce(at(F.get(c("packed"), k - 1)) == own, F.lit(False)) | F.coalesce(at(F.get(c("packed"), k + 1)) == own, F.lit(False))
+        return F.coalesce(F.get(c("placed"), k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(c("placed"), k + 1)["h"] == x["h"], F.lit(False))
 
     out = docs.withColumn(tmp + "text", text)
     out = out.withColumn(tmp + "words", F.filter(F.split(c("text"), SPACE), lambda w: w != "")).withColumn(tmp + "lines", F.filter(F.split(c("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = out.withColumn(tmp + "hashes", F.transform(c("words"), lambda w: F.xxhash64(w)))
     window = lambda i: F.xxhash64(*[F.get(c("hashes"), i + j) for j in range(5)])
     out = out.withColumn(tmp + "windows", F.when(F.size(c("hashes")) >= 5, F.transform(F.sequence(F.lit(0), F.size(c("hashes")) - 5), window)).otherwise(F.array().cast("array<bigint>")))
-    out = out.withColumn(tmp + "packed", F.when(F.size(F.array_distinct(c("windows"))) < F.size(c("windows")), F.sort_array(F.transform(c("windows"), lambda x, i: x.bitwiseAND(F.bitwise_not(place)).bitwiseOR(i.cast("long"))))))
-    out = out.withColumn(tmp + "starts", F.sort_array(F.transform(F.filter(c("packed"), repeated), lambda x: x.bitwiseAND(place))))
+    out = out.withColumn(tmp + "placed", F.when(F.size(F.array_distinct(c("windows"))) < F.size(c("windows")), F.sort_array(F.transform(c("windows"), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    out = out.withColumn(tmp + "starts", F.sort_array(F.transform(F.filter(c("placed"), repeated), lambda x: x["i"].cast("long"))))
     covered = F.aggregate(F.transform(c("starts"), lambda x, k: F.least(F.lit(5).cast("long"), F.coalesce(F.get(c("starts"), k + 1) - x, F.lit(5).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
     out = out.withColumns({
         "n_words": F.size(c("words")).cast("long"),
@@ -73,7 +67,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         # not deterministic, and so a fence: a filter on the verdict must not be pushed below, where it would repeat all of the above inside itself
         "__counted": F.monotonically_increasing_id() >= 0,
     })
-    return out.drop(*[tmp + x for x in ("text", "words", "lines", "hashes", "windows", "packed", "starts")])
+    return out.drop(*[tmp + x for x in ("text", "words", "lines", "hashes", "windows", "placed", "starts")])
 
 
 def base_failed() -> Column:
@@ -175,7 +169,9 @@ def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, id_col
     chosen = drawn(chosen, max_labelled, seed, "__id", "__y")
     own = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text")).join(F.broadcast(chosen), "__id")
     of = measures()
-    rows = with_statistics(own, "__text").select("__id", "__y", *[v.alias(k) for k, v in of.items()]).toPandas().sort_values(["__id", "__y"], kind="stable")
+    # ids that many documents share give a row for each distinct text at most, and `max_labelled` in all
+    found = with_statistics(own.dropDuplicates(["__id", "__text", "__y"]), "__text").select("__id", "__y", *[v.alias(k) for k, v in of.items()])
+    rows = found.orderBy("__id", "__y", *of).limit(max_labelled).toPandas().sort_values(["__id", "__y"], kind="stable")
     if rows["__y"].nunique() < 2:
         return []
     return learn_rules(rows[list(of)].to_numpy(float), (rows["__y"] == 0).to_numpy(), list(of), seed=seed)
