@@ -124,10 +124,12 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     return Model(names, tuple(pairs), weights, bias)
 
 
-def training_rows(docs: DataFrame, learnable, per_lang: int, id_col: str, text_col: str, lang_col: str, seed: int) -> tuple[np.ndarray, list[str]]:
+def training_rows(docs: DataFrame, learnable, per_lang: int, most_langs: int, id_col: str, text_col: str, lang_col: str, seed: int) -> tuple[np.ndarray, list[str]]:
     """Frequencies and languages of about `per_lang` texts of each language, chosen by hashed id; vectors of BUCKETS numbers, never texts, reach the driver."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).where(learnable).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}
+    if len(counts) > most_langs:
+        raise ValueError(f"the table has more than most_langs={most_langs} languages; none is left out, so the model grows with their number")
     share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
     chosen = rows.where(draw(seed, "id") < F.coalesce(share[F.col("lang")], F.lit(0.0)))
 
@@ -148,15 +150,16 @@ def training_rows(docs: DataFrame, learnable, per_lang: int, id_col: str, text_c
     return x, list(got["lang"])
 
 
-def identify(docs: DataFrame, learnable=None, per_lang: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 13) -> DataFrame:
+def identify(docs: DataFrame, learnable=None, per_lang: int = 400, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 13) -> DataFrame:
     """One row a document: id, lang_pred, score. Learns from `lang` of rows where `learnable` (over id, text, lang) holds,
-    about `per_lang` of each of the 200 most frequent languages at most (the bound of the sample).
+    about `per_lang` of each language (the bound of the sample, with `most_langs`: more languages than that are an error, none is
+    left out).
 
     Null text or one without a letter: `und`, score 1. Without learnable rows: `und`, score 0, everywhere. Empty tables
     give empty ones; repeated rows give a row each; other columns are not read. A prediction sees the text alone.
     """
     learnable = F.lit(True) if learnable is None else learnable
-    x, langs = training_rows(docs, learnable, per_lang, id_col, text_col, lang_col, seed)
+    x, langs = training_rows(docs, learnable, per_lang, most_langs, id_col, text_col, lang_col, seed)
     model = fit(x, langs) if langs else None
     if model is not None:
         tables = np.ascontiguousarray(model.weights.T)
