@@ -70,12 +70,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ------------------------------------------------------------------ the labelled table
 
-#: Contexts of the labelled table. {s} secret, {e} email, {i} ip, {c} card, {p} phone, {w} any words, {j} junk words, {n} harmless numbers.
+#: Contexts of the labelled table. {s} secret, {e} email, {i} ip, {c} card, {p} phone, {w} any words, {j} junk words, {n} harmless numbers, {h} hashes and {u} UUIDs that are no secrets.
 CONTEXTS = (
     '{w} token = "{s}" {w}', '{w} token = "{s}"', 'token = "{s}" {w}', "{w} token: {s} {w}", "{w} secret = '{s}' {w}", 'api_key = "{s}"', "{w} api_key={s} {w}",
     'password: "{s}" {w}', "{w} Authorization: Bearer {s} {w}", "key = {s} {w}", "{w} token {w}", "{w} the secret of {w} key {w}", "{w} password {w}", "{w} token = {w}",
     "{w} {e} {w}", "{e}", "{w} write to {e} or {p} {w}", "{w} {i} {w}", "{i} {w}", "{w} {c} {w}", "{c} {w}", "{w} {p} {w}", "{p}", "{w} {n} {w}", "{n} {w} {n}",
     "{w}", "{w} {w}", "{j}", "{j} {j}", "{w} {j} {w}",
+    "commit {h}", "{w} commit {h} {w}", "sha256: {h}", "{w} sha256 {h} {w}", "md5 {h} {w}", "{w} checksum {h} {w}", "{w} digest: {h}", "revision = {h}", "{w} {h} {w}", "{h}", "uuid {u} {w}", "{w} {u} {w}", "id = {u}",
 )
 _PARTS = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ung sch keit ich eux ment ción ado ñ é è ç ü ß ö".split()
 
@@ -106,6 +107,10 @@ def labelled_lines(rounds: int = 12, seed: int = 7) -> list[tuple[list[str], lis
             return [(digits(16), 3)] if rnd.random() < 0.7 else [(digits(4), 3) for _ in range(4)]
         if slot == "p":
             return [("+" + digits(1), 4), (f"({digits(3)})", 4), (f"{digits(3)}-{digits(4)}", 4)]
+        if slot == "h":
+            return [("".join(rnd.choice("0123456789abcdef") for _ in range(rnd.choice((7, 32, 40, 40, 64)))), 0)]
+        if slot == "u":
+            return [("-".join("".join(rnd.choice("0123456789abcdef") for _ in range(k)) for k in (8, 4, 4, 4, 12)), 0)]
         alphabet = rnd.choice(("0123456789abcdef",) * 3 + ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",))
         return [("".join(rnd.choice(alphabet) for _ in range(rnd.choice((32, 40, 40, 40, 64)))), 5)]
 
@@ -132,13 +137,16 @@ ROLES = (0, -1, -2, 1)  # which neighbour's shape is seen: the word, the one bef
 
 
 def shape(word: str) -> str:
-    """Letters and digits by class, runs of more than two as one mark, other characters as they are."""
-    marks = []
-    for c in word[:80]:
+    """Letters and digits by class, runs of more than two as two marks, other characters as they are; of the whole word, until
+    there are 24 marks."""
+    marks: list[str] = []
+    for c in word:
         m = "9" if "0" <= c <= "9" else ("X" if c.isupper() else "x") if c.isalpha() else c
         if len(marks) < 2 or marks[-1] != m or marks[-2] != m:
             marks.append(m)
-    return "".join(marks[:24])
+            if len(marks) == 24:
+                break
+    return "".join(marks)
 
 
 #: The fixed words of the contexts; other words are told apart by shape only.
@@ -327,7 +335,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     struct(kind, start, end) in code points, end exclusive.
 
     Null or empty text: both empty. Whole texts are read; a line is a sequence of the CRF. The CRF adds a span where its
-    label is SECRET, the value has `min_secret` characters at least and overlaps no base span. Repeated rows each give a
+    label is SECRET, the value has `min_secret` characters at least and no base span covers it. Repeated rows each give a
     row. Other columns of docs are neither read nor returned, so their names do not matter. A map without a shuffle.
     """
     crf = trained()
@@ -350,7 +358,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
                     doc, a, b = where[k]
                     line = texts[doc].as_py()[a:b]
                     s, t = _word_span(line, w)
-                    if t - s >= min_secret and not any(x < a + t and a + s < y for x, y, _ in base[doc]):
+                    if t - s >= min_secret and not any(x <= a + s and a + t <= y for x, y, _ in base[doc]):
                         added[doc].append({"kind": "secret", "start": a + s, "end": a + t})
                 lines, where, words = [], [], 0
 
