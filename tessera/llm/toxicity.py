@@ -143,7 +143,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int, id_col:
     shares its smallest hashed five-word shingle), for copies would count a rare word many times."""
     chosen = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y in (0, 1)")
     chosen = drawn(chosen, max_labelled, seed, "id", "y")
-    own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id", "text", "y"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -153,7 +153,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int, id_col:
             s = [shingles(cache.of(words_of(t))) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(h, pa.binary()), pa.array([int(v.min() >> np.uint64(1)) if len(v) else 0 for v in s], pa.int64())], names=["id", "y", "words", "sketch"])
 
-    got = own.select(F.col("id").cast("long").alias("id"), "text", "y").mapInArrow(sets, "id long, y int, words binary, sketch long").toPandas().sort_values(["id", "y"], kind="stable").drop_duplicates("sketch")
+    got = own.select(F.col("id").cast("long").alias("id"), "text", "y").mapInArrow(sets, "id long, y int, words binary, sketch long").orderBy("id", "y", "sketch").limit(max_labelled).toPandas().sort_values(["id", "y"], kind="stable").drop_duplicates("sketch")
     fold = np.array([xxhash.xxh32_intdigest(str(i)) % 5 for i in got["id"]], int)
     return [np.frombuffer(w, np.int64) for w in got["words"]], got["y"].to_numpy(int), fold
 
