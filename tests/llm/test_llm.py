@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import components, decontam, langid, licenses, line_dedup, ngram_join, packing, pii, quality, toxicity, warc
+from tessera.llm import components, decontam, langid, licenses, line_dedup, ngram_join, packing, pii, quality, queries, toxicity, warc
 from tessera.llm.queries import tokenizer_path
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -75,6 +75,51 @@ def test_pii(spark):
     assert pii.find_pii(table(spark, [])).count() == 0
 
 
+def test_hashes_and_uuids_are_no_secrets():
+    tagger = pii.Tagger(pii.trained().emit, pii.trained().trans)
+    r = random.Random(44)
+    hexed = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    plain = [f"commit {hexed(40)}", f"stor the checksum {hexed(64)} of", f"md5 {hexed(32)} thea", f"in the {hexed(40)} of", "uuid 123e4567-e89b-12d3-a456-426614174000 thea", "anon the key of token thea"]
+    secret = [f'token = "{hexed(40)}"', f'stor in token = "{hexed(40)}" thea of.', f"api_key={hexed(32)}"]
+    hits = {k for k, _ in tagger.secret_words([t.split() for t in plain + secret])}
+    assert hits == set(range(len(plain), len(plain) + len(secret)))
+
+
+def test_a_secret_stays_beside_a_card_within_it(spark):
+    secret = "ab" + "4111111111111111" + "cdefabcdefabcdefabcdef"
+    text = f'token = "{secret}"'
+    (row,) = pii.find_pii(table(spark, [text])).collect()
+    assert [s["kind"] for s in row["base"]] == ["card"]
+    assert [(s["start"], s["end"]) for s in row["added"]] == [(text.index(secret), text.index(secret) + len(secret))]
+
+
+def test_op1_query_digests(spark, tmp_path):
+    texts = [None, "", "a.b@mail.example.com and +1 (301) 555-0346 at 10.0.0.1", "4111 1111 1111 1111", 'token = "' + "0f" * 20 + '"']
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.op1_pii(spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        spans = base_brute(t or "")
+        digest = ",".join(f"{pii.KINDS[kind]}:{a}:{b}" for a, kind, b in spans)
+        assert got[k]["base_sha256"] == hashlib.sha256(digest.encode()).hexdigest()
+        assert [got[k]["n_" + kind] for kind in pii.KINDS[:4]] == [sum(kind == pii.KINDS[x] for _, x, _ in spans) for kind in pii.KINDS[:4]]
+    assert got[4]["spans"] == "secret:9:49" and got[3]["spans"] == "card:0:19"
+
+
+def test_op8_query_holds_out_by_crc(spark, tmp_path):
+    texts = [prose(30, k) for k in range(30)] + [None, "12"]
+    table(spark, texts).withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.op8_language(spark, str(tmp_path)).collect()}
+    assert all(got[k]["held_out"] == (zlib.crc32(str(k).encode()) % 3 == 1) for k in range(len(texts)))
+    assert got[30]["lang_pred"] == got[31]["lang_pred"] == "und" and got[0]["lang_pred"] == "en"
+
+
+def test_op2_query_digests(spark, tmp_path):
+    texts = ["a line of words\nb", "a line of words\nother", None]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert [got[k]["n_removed"] for k in range(3)] == [0, 1, 0] and got[1]["text_sha256"] == hashlib.sha256(b"other").hexdigest() and got[2]["text_sha256"] is None
+
+
 def test_crf_viterbi_is_the_best_path():
     crf = pii.trained()
     lines = [w for w, _ in pii.labelled_lines(1)][:40]
@@ -311,6 +356,19 @@ def test_tokens_equal_tokenizers():
         assert fast.ids(t).tolist() == exact.encode(t, add_special_tokens=False).ids
 
 
+def test_tokens_of_very_long_runs_equal_tokenizers():
+    from tokenizers import Tokenizer
+
+    fast, exact = packing.tokens_of(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for t in (" " * 2_000_000, "\n" * 2_000_000, "a" + " " * 1_000_000 + "b", "ab" * 500_000):
+        assert fast.ids(t).tolist() == exact.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_of_a_very_long_blank_text(spark):
+    rows = packing.pack(table(spark, ["x" + " " * 1_500_000, "y"]), tokenizer_path()).collect()
+    assert {x["doc_id"] for x in rows} == {0, 1} and max(x["length"] for x in rows) <= 2048
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -487,6 +545,12 @@ def test_language(spark):
 # ------------------------------------------------------------------ 9
 
 
+def test_more_languages_than_allowed_are_an_error(spark):
+    docs = table(spark, [prose(20, k) for k in range(6)]).withColumn("lang", F.concat(F.lit("l"), "doc_id"))
+    with pytest.raises(ValueError, match="most_langs"):
+        langid.identify(docs, most_langs=5)
+
+
 def test_warc_round_trip(spark):
     htmls = [None, "", "<p>é</p>\r\n\r\n" * 3, "<p>é</p>\r\n\r\n" * 3, prose(4000, 1), "WARC/1.1\r\n\r\n", *[f"<html>{prose(80, k)}</html>" for k in range(40)], prose(4000, 1)]
     rows = [(k + 10, None if k == 4 else f"http://x/{k}", h, "z") for k, h in enumerate(htmls)]
@@ -564,6 +628,14 @@ def test_quality(spark):
     assert quality.judge(table(spark, []), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
 
 
+def test_repeated_windows_of_long_texts(spark):
+    base = prose(30_000, 21).split()
+    texts = [" ".join(base + base[1000:1010] + prose(3000, 22).split() + base[:2000]), "a " * 100_000, prose(50_000, 23)]
+    got = {x["doc_id"]: x for x in quality.with_statistics(table(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        assert tuple(got[k][c] for c in quality.STATISTICS) == statistics_brute(t)
+
+
 def test_rules_are_a_list_of_conditions():
     rng = np.random.default_rng(1)
     x = rng.random((800, 3))
