@@ -59,19 +59,28 @@ def near_flags(values: np.ndarray, off: int) -> np.ndarray:
     return out
 
 
+def counted_shingles(items: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles of all items, how many items have each, and how many items have any; so weights do not depend on the passes."""
+    cache = WordHashes()
+    sets = [np.unique(shingles(cache.of(words_of(t)), K)) for _, t in items]
+    known, holders = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+    return known, holders, sum(len(s) > 0 for s in sets)
+
+
 class Index:
     """The items of one pass, by width."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int):
+    def __init__(self, items: list[tuple[int, str]], radius: int, counted: tuple[np.ndarray, np.ndarray, int]):
         self.radius = radius
         cache = WordHashes()
         hashes = {i: cache.of(words_of(t)) for i, t in items}
         hashes = {i: h for i, h in hashes.items() if len(h)}
         bags = {i: np.unique(shingles(h, K), return_counts=True) for i, h in hashes.items()}
         every = np.concatenate([b[0] for b in bags.values()]) if bags else np.zeros(0, np.uint64)
-        self.known, holders = np.unique(every, return_counts=True)
-        self.weights = np.log1p(len(bags) / holders)
-        self.unknown = float(np.log1p(len(bags))) or 1.0
+        self.known = np.unique(every)
+        of_all, holders, n = counted
+        self.weights = np.log1p(n / holders[np.searchsorted(of_all, self.known)])
+        self.unknown = float(np.log1p(n)) or 1.0
         self.items = {i: (len(h), *bags[i], self.weigh(bags[i][0])) for i, h in hashes.items()}
         self.widths: dict[int, tuple] = {}
         by: dict[int, list[int]] = {}
@@ -178,6 +187,13 @@ def _matches(batches: Iterator[pa.RecordBatch], index: Index, threshold: float,
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["id", "item_id", "start_word", "n_words", "similarity"])
 
 
+def _named(batches: Iterator[pa.RecordBatch], names: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Matches with the items' ids in place of their numbers."""
+    for batch in batches:
+        numbers = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[numbers], pa.int64()), *batch.columns[2:]], names=batch.schema.names)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = 11, threshold: float = 0.75, items_a_pass: int = 5_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words_a_turn: int = 60_000) -> DataFrame:
     """A row for each document and benchmark item that a window of it repeats: id, item_id, start_word (where the best such
     window starts), n_words (of the item), similarity (weighted Jaccard of the bags of five-word shingles, `threshold` at
@@ -185,14 +201,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = 11, thresh
 
     Texts are compared lower-cased (A-Z), whole, as words of non-space characters. Null and empty texts and items without a
     word match nothing; items of fewer than five words are one shingle. Repeated document rows give their rows each; of items
-    with one id the last in text order counts. Items are broadcast `items_a_pass` at a time and documents read once for
+    with one id every text is looked for, and each that is found gives a row (equal texts of an id are one). Items are broadcast `items_a_pass` at a time and documents read once for
     each pass, so memory is bounded for any benchmark. No shuffle of documents. An empty table gives an empty one.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    items = [(r["i"], r["t"]) for r in benchmark.select(benchmark[item_col].cast("long").alias("i"), benchmark[item_text_col].cast("string").alias("t")).where("i is not null and t is not null").orderBy("i", "t").collect()]
-    out = None
+    items = [(r["i"], r["t"]) for r in benchmark.select(benchmark[item_col].cast("long").alias("i"), benchmark[item_text_col].cast("string").alias("t")).where("i is not null and t is not null").distinct().orderBy("i", "t").collect()]
+    # texts go by their number within the pass, so that several may share an id
+    out, counted = None, counted_shingles(items)
     for a in range(0, max(len(items), 1), items_a_pass):
-        index = docs.sparkSession.sparkContext.broadcast(Index(items[a : a + items_a_pass], radius))
-        found = rows.mapInArrow(lambda batches, index=index: _matches(batches, index.value, threshold, words_a_turn), "id long, item_id long, start_word long, n_words long, similarity double")
+        own = items[a : a + items_a_pass]
+        index = docs.sparkSession.sparkContext.broadcast(Index([(n, t) for n, (_, t) in enumerate(own)], radius, counted))
+        names = docs.sparkSession.sparkContext.broadcast(np.array([i for i, _ in own], np.int64))
+        found = rows.mapInArrow(lambda batches, index=index, names=names: _named(_matches(batches, index.value, threshold, words_a_turn), names.value), "id long, item_id long, start_word long, n_words long, similarity double")
         out = found if out is None else out.union(found)
     return out.withColumnRenamed("id", id_col)
