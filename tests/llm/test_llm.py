@@ -673,3 +673,41 @@ def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = {r["doc_id"]: r for r in c.repeated_lines(spark, docs, str(tmp_path)).collect()}
     assert kept[8]["text"] == prose(90, 5) and kept[8]["n_chars"] == len(prose(90, 5)) and kept[7]["text"] == texts[7]
+
+
+def pipeline_tables(spark, folder, texts, items, ids=None):
+    rows = [(k if ids is None else ids[k], t, "en", "s", len(t or ""), 1) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __k int").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as c
+
+    pipeline_tables(spark, tmp_path, [], [])
+    assert c.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_against_plain_versions(spark, tmp_path):
+    """Nulls, repeated rows, ids that several texts share, and rows without an id."""
+    import corpus_pipeline as c
+
+    item = prose(30, 501)
+    texts = [prose(60, 502), prose(60, 502), edited(prose(60, 502), 1, 1), prose(50, 503), prose(50, 503) + " " + item, None, "", prose(50, 504), prose(50, 504), "b c", "b c"]
+    ids = [4, 4, 2, 7, 7, 8, 9, None, None, None, 11]
+    docs = pipeline_tables(spark, tmp_path, texts, [(1, item), (1, prose(30, 505))], ids)
+    rows = list(zip(ids, texts, strict=True))
+    of = lambda df: sorted(((x["doc_id"], x["text"]) for x in df.collect()), key=repr)
+    group = {k: g for k, (_, g) in classes_brute(dict(enumerate(texts))).items()}
+    want = []
+    for g in set(group.values()):
+        own = [rows[k] for k in group if group[k] == g]
+        want.append(min(own, key=lambda x: (x[0] is None, x[0] or 0)))
+    assert of(c.near_duplicates(spark, docs, str(tmp_path))) == sorted(want, key=repr)
+    assert of(c.decontamination(spark, docs, str(tmp_path))) == sorted((x for x in rows if not x[1] or item not in x[1]), key=repr)
+    good = [x for x in rows if x[1] and statistics_brute(x[1])[0] >= 10]
+    assert of(c.quality_rules(spark, docs, str(tmp_path))) == sorted(good, key=repr)
+    assert c.near_duplicates(spark, docs, str(tmp_path)).columns == docs.columns
+    assert {x["doc_id"] for x in c.repeated_lines(spark, docs, str(tmp_path)).collect()} >= {2, 7, 8, 9}
