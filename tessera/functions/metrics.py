@@ -23,14 +23,20 @@ def threshold(x: Column, at: float, operator: str = "greater") -> Column:
     return (x > at if operator == "greater" else x < at).cast("double")
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's, from mergeable moments of the rows that have both; null where one of them is constant (corr() raises an error there)."""
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def regression() -> dict[str, Column]:
     p, t = F.col("pred"), F.col("target")
     e = p - t
     return {
         "mae": F.avg(F.abs(e)), "mse": F.avg(e * e), "rmse": F.sqrt(F.avg(e * e)), "mape": F.avg(F.abs(e) / F.greatest(F.abs(t), F.lit(1.17e-6))),
-        "msle": F.avg(F.pow(F.log1p(p) - F.log1p(t), F.lit(2))), "cosine": F.sum(p * t) / (F.sqrt(F.sum(p * p)) * F.sqrt(F.sum(t * t))), "pearsonr": F.corr(p, t),
-        # the sum of squares around the mean from mergeable sums
-        "r2": 1 - F.sum(e * e) / (F.var_pop(t) * F.count(t)),
+        "msle": F.avg(F.pow(F.log1p(p) - F.log1p(t), F.lit(2))), "cosine": F.try_divide(F.sum(p * t), F.sqrt(F.sum(p * p)) * F.sqrt(F.sum(t * t))), "pearsonr": correlation(p, t),
+        # the sum of squares around the mean from mergeable sums; null where the target is constant, as cosine is for zero vectors
+        "r2": 1 - F.try_divide(F.sum(e * e), F.var_pop(t) * F.count(t)),
     }
 
 
@@ -53,6 +59,38 @@ def classification(counted: DataFrame, beta: float = 1.0) -> DataFrame:
     })
 
 
+def class_counts(rows: DataFrame, top_k: int = 1, ignore_index: int | None = None) -> DataFrame:
+    """class, tp, fp, fn, tn, support over (scores: array, one a class; target: class number). The `top_k` highest scores are the
+    predicted classes, the lowest number first of equals; rows with a null target or `ignore_index` are left out. Classes that
+    are neither target nor predicted have no row. A row is turned into 1 + top_k small ones, which are summed before the shuffle."""
+    rows = rows.where("target is not null")
+    rows = rows if ignore_index is None else rows.where(F.col("target") != ignore_index)
+    best = F.slice(F.array_sort(F.transform("scores", lambda x, i: F.struct((-x).alias("x"), i.alias("i")))), 1, top_k)
+    own = rows.select(F.col("target").cast("int").alias("target"), F.transform(best, lambda x: x["i"]).alias("best"))
+    hit = F.array_contains("best", F.col("target")).cast("long")
+    mark = lambda c, support, tp, chosen: F.struct(c.alias("class"), F.lit(support).alias("support"), tp.alias("tp"), F.lit(chosen).alias("chosen"))
+    parts = F.concat(F.array(mark(F.col("target"), 1, hit, 0)), F.transform("best", lambda c: mark(c, 0, F.lit(0).cast("long"), 1)))
+    summed = own.select(F.explode(parts).alias("x")).groupBy("x.class").agg(*[F.sum(f"x.{c}").alias(c) for c in ("support", "tp", "chosen")])
+    n = F.sum("support").over(Window.partitionBy(F.lit(0)))  # one row a class
+    return summed.select("class", "tp", (F.col("chosen") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"), (n - F.col("support") - F.col("chosen") + F.col("tp")).alias("tn"), "support")
+
+
+def averaged(counted: DataFrame, average: str | None = "macro", beta: float = 1.0) -> DataFrame:
+    """Metrics of class_counts(): "micro" from the sums, "macro" the plain mean over classes, "weighted" by support, None a row
+    for each class. Classes that nobody predicted or had are in no average."""
+    if average not in ("micro", "macro", "weighted", None):
+        raise ValueError(f"average is micro, macro, weighted or None, not {average!r}")
+    names = ["accuracy", "precision", "recall", "specificity", "fbeta"]
+    if average == "micro":
+        return classification(counted.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")]), beta).select(*names)
+    per = classification(counted, beta)
+    if average is None:
+        return per.select("class", "support", *names)
+    if average == "macro":
+        return per.agg(*[F.avg(c).alias(c) for c in names])
+    return per.agg(*[ratio(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in names])
+
+
 def by_score(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows and positives of every distinct score (summed before any window, so windows see scores and not rows), with the
     running sums from the highest score and from the lowest."""
@@ -74,7 +112,8 @@ def average_precision(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def pr_curve(rows: DataFrame, *keys: str) -> DataFrame:
-    return by_score(rows, *keys).select(*keys, F.col("pred").alias("threshold"), (F.col("tp") / F.col("seen")).alias("precision"), (F.col("tp") / F.col("pos_all")).alias("recall"))
+    """Precision and recall at every score; recall is null where there is no positive."""
+    return by_score(rows, *keys).select(*keys, F.col("pred").alias("threshold"), (F.col("tp") / F.col("seen")).alias("precision"), F.try_divide("tp", "pos_all").alias("recall"))
 
 
 def _ranks(rows: DataFrame, column: str, key: list[str], average: bool) -> DataFrame:
@@ -90,7 +129,7 @@ def _ranks(rows: DataFrame, column: str, key: list[str], average: bool) -> DataF
 def spearman(rows: DataFrame, *keys: str, average: bool = True) -> DataFrame:
     """Pearson correlation of ranks; ties share ranks, or with average=False are ordered by row_id."""
     out = _ranks(_ranks(rows, "pred", list(keys), average), "target", list(keys), average)
-    return out.groupBy(*keys).agg(F.corr("rank_pred", "rank_target").alias("spearman"))
+    return out.groupBy(*keys).agg(correlation(F.col("rank_pred"), F.col("rank_target")).alias("spearman"))
 
 
 def losses() -> dict[str, Column]:

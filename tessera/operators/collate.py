@@ -51,3 +51,18 @@ def filler(rows: DataFrame, pack: str, size: int) -> DataFrame:
     out = rows.groupBy(pack).agg(F.count("*").alias("n_nodes"))
     lack = F.when(F.col("n_nodes") > size, F.raise_error(F.lit(f"a pack has more than {size} nodes")).cast("long")).otherwise(size - F.col("n_nodes"))
     return out.withColumn("n_fill", lack)
+
+
+def to_dense(nodes: DataFrame, columns: list[str], most: int, fill: float = 0.0) -> DataFrame:
+    """A row for each graph and slot 0..most-1: its columns, `fill` where no node is, and mask (whether one is). An error where a
+    node's number reaches `most`. A graph's slots come from one aggregate, so nothing is joined."""
+    over = F.when(F.col("node_id") >= most, F.raise_error(F.lit(f"a graph has more than {most} nodes")).cast("int")).otherwise(F.col("node_id"))
+    held = nodes.groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct(over.cast("int").alias("slot"), F.struct(*columns).alias("x")))).alias("m"))
+    slots = held.select("graph_id", "m", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("slot"))
+    x = F.col("m")[F.col("slot")]
+    return slots.select("graph_id", "slot", *[F.when(x.isNull(), F.lit(fill)).otherwise(x[c]).alias(c) for c in columns], x.isNotNull().alias("mask"))
+
+
+def from_dense(dense: DataFrame, columns: list[str]) -> DataFrame:
+    """The nodes of to_dense() again: the slots under the mask."""
+    return dense.where("mask").select("graph_id", F.col("slot").alias("node_id"), *columns)

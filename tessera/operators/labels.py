@@ -46,19 +46,27 @@ def label_statistics(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def normalised(x: Column, stats: dict[str, Column], method: str | None, low: float | None = None, high: float | None = None) -> Column:
-    """None: as it is; "normal": z-score; "unit": to 0..1. Clipping needs both bounds, which then also stand for min and max."""
+    """None: as it is; "normal": z-score; "unit": to 0..1. Clipping needs both bounds, which then also stand for min and max.
+    A constant column has no scale: null."""
     if method not in (None, "normal", "unit"):
         raise ValueError(f"method is None, normal or unit, not {method!r}")
     clip = low is not None and high is not None
     x = F.least(F.greatest(x, F.lit(low)), F.lit(high)) if clip else x
     if method == "normal":
-        return (x - stats["mean"]) / stats["std"]
+        return F.try_divide(x - stats["mean"], stats["std"])
     if method == "unit":
         a, b = (F.lit(low), F.lit(high)) if clip else (stats["min"], stats["max"])
-        return (x - a) / (b - a)
+        return F.try_divide(x - a, b - a)
     return x
 
 
+def normalised_by(rows: DataFrame, column: str, method: str | None, fitted: Column) -> DataFrame:
+    """rows with `column` normalised by the statistics of the rows where `fitted` holds (the train split)."""
+    s = rows.where(fitted).agg(*[f(column).alias(f"_{n}") for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop))])
+    stats = {n: F.col(f"_{n}") for n in ("min", "max", "mean", "std")}
+    return rows.crossJoin(F.broadcast(s)).withColumn(column, normalised(F.col(column), stats, method)).drop("_min", "_max", "_mean", "_std")  # one row
+
+
 def denormalised(x: Column, stats: dict[str, Column], method: str | None) -> Column:
     if method == "normal":
         return x * stats["std"] + stats["mean"]
@@ -66,11 +74,13 @@ def denormalised(x: Column, stats: dict[str, Column], method: str | None) -> Col
 
 
 def balance_weights(rows: DataFrame, label: str) -> DataFrame:
-    """weight: p for negatives and 1/p for positives, p the share of positives, over the largest weight; labels 0 and 1 only."""
+    """weight: p for negatives and 1/p for positives, p the share of positives, over the largest weight; labels 0 and 1 only. Null where all
+    labels are alike: there is nothing to balance."""
     p = rows.agg(F.avg(label).alias("_p"))
     out = rows.crossJoin(F.broadcast(p))  # one row
-    raw = F.when(F.col(label) == 0, F.col("_p")).when(F.col(label) == 1, 1 / F.col("_p"))
-    return out.withColumn("weight", raw / F.greatest(F.col("_p"), 1 / F.col("_p"))).drop("_p")
+    raw = F.when(F.col(label) == 0, F.col("_p")).when(F.col(label) == 1, F.try_divide(F.lit(1.0), F.col("_p")))
+    weight = F.try_divide(raw, F.greatest(F.col("_p"), F.try_divide(F.lit(1.0), F.col("_p"))))
+    return out.withColumn("weight", F.when((F.col("_p") > 0) & (F.col("_p") < 1), weight)).drop("_p")
 
 
 def bucket(x: Column, cuts: list[float]) -> Column:

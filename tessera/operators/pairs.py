@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import encodings
 from tessera.operators.graphs import gather, in_graph_pairs, transfer
 
 
@@ -55,18 +56,13 @@ def radius_join(points: DataFrame, position: list[str], cutoff: float, max_neigh
     return near.withColumn("rank", rank).where(F.col("rank") <= max_neighbours).select("graph_id", "i", "j", "dist")
 
 
-def hop_distance(nodes: DataFrame, edges: DataFrame, longest: int) -> DataFrame:
-    """Hops between all nodes of a graph by frontier joins, `longest` at most; null beyond that or where there is no way.
+def hop_distance(nodes: DataFrame, edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """Hops between all nodes of a graph; null where there is no way, or none of `longest` hops at most where that is given.
 
-    Each step only extends pairs first met in the step before; `longest` steps are one plan, so small graphs need no loop with
-    actions."""
-    reached = nodes.select("graph_id", F.col("node_id").alias("i"), F.col("node_id").alias("j"), F.lit(0).alias("hops"))
-    out = frontier = reached
-    for k in range(1, longest + 1):
-        step = frontier.select("graph_id", "i", F.col("j").alias("src")).join(edges.select("graph_id", "src", "dst"), ["graph_id", "src"])
-        frontier = step.select("graph_id", "i", F.col("dst").alias("j")).distinct().join(out.select("graph_id", "i", "j"), ["graph_id", "i", "j"], "left_anti").withColumn("hops", F.lit(k))
-        out = out.unionByName(frontier)
-    return in_graph_pairs(nodes, {}).join(out, ["graph_id", "i", "j"], "left")
+    Each graph is gathered once and searched breadth-first in its task, so the plan does not grow with the number of hops."""
+    out = encodings.encode(nodes, edges, encodings.hops, "nodepair")
+    reached = (F.col("v") >= 0) & (F.col("v") <= (longest if longest is not None else float(1 << 31)))
+    return out.select("graph_id", "i", "j", F.when(reached, F.col("v")).cast("int").alias("hops"))
 
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ def sub_sample(rows: DataFrame, size: int | float | None, key: str, seed: int =
         return rows
     if isinstance(size, bool) or not isinstance(size, (int, float)):
         raise ValueError(f"sample size is an int, a float or None, not {size!r}")
-    n = size if isinstance(size, int) else int(rows.count() * size)
+    if isinstance(size, float):
+        return ranked(rows, key, seed).where(F.col("rank") < F.floor(F.col("total") * size)).drop("rank", "total")
+    n = size
     return rows.withColumn("_h", seeded(seed, F.col(key))).orderBy("_h", key).limit(n).drop("_h")
 
 
@@ -47,6 +49,13 @@ def split_unseen(rows: DataFrame, seen: DataFrame, key: str, val: float, test: f
     return random_split(rows.join(known, key, "left_anti"), key, val, test, seed).unionByName(rows.join(known, key, "left_semi").withColumn("split", F.lit("test_seen")))
 
 
+def split_overlap_to_train(rows: DataFrame, other: DataFrame, key: str, val: float, test: float, seed: int = 42) -> DataFrame:
+    """The other half of split_unseen(): rows whose key `other` has too are train, so that it holds out nothing that they were
+    trained on; the rest are split at random."""
+    known = other.select(key).distinct()
+    return random_split(rows.join(known, key, "left_anti"), key, val, test, seed).unionByName(rows.join(known, key, "left_semi").withColumn("split", F.lit("train")))
+
+
 def file_split(rows: DataFrame, wide: DataFrame, index: str, names: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
     """rows with the split whose column of `wide` (padded with NULL or NaN) lists their index; rows listed nowhere go."""
     long = wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("split"), F.nanvl(F.col(n).cast("double"), F.lit(None).cast("double")).cast("long").alias(index)) for n in names])).alias("x")).select("x.*").where(F.col(index).isNotNull()).distinct()

@@ -10,8 +10,10 @@ from tessera.plans.registry import query
 
 NODES = """nodes AS (SELECT l_orderkey AS graph_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) - 1 AS node_id,
     l_quantity AS q, l_extendedprice AS p, l_discount AS d, l_tax AS t, l_returnflag AS flag FROM lineitem)"""
-EDGES = f"""{NODES}, edges AS (SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, a.q AS q_src, a.d AS d_src, b.q AS q_dst, b.t AS t_dst, a.flag = b.flag AS same_flag
-    FROM nodes a JOIN nodes b ON a.graph_id = b.graph_id AND (b.node_id = a.node_id + 1 OR b.node_id = a.node_id - 1))"""
+EDGES = f"""{NODES}, beside AS (SELECT *, lead(node_id) OVER w AS n1, lead(q) OVER w AS q1, lead(t) OVER w AS t1, lead(flag) OVER w AS f1, lag(node_id) OVER w AS n0, lag(q) OVER w AS q0, lag(t) OVER w AS t0, lag(flag) OVER w AS f0
+      FROM nodes WINDOW w AS (PARTITION BY graph_id ORDER BY node_id)),
+    edges AS (SELECT graph_id, node_id AS src, n1 AS dst, q AS q_src, d AS d_src, q1 AS q_dst, t1 AS t_dst, flag = f1 AS same_flag FROM beside WHERE n1 IS NOT NULL
+      UNION ALL SELECT graph_id, node_id, n0, q, d, q0, t0, flag = f0 FROM beside WHERE n0 IS NOT NULL)"""
 PAIRS = f"""{NODES}, pairs AS (SELECT a.graph_id, a.node_id AS i, b.node_id AS j, a.q + b.q AS total, abs(a.q - b.q) AS apart FROM nodes a JOIN nodes b ON a.graph_id = b.graph_id)"""
 POINTS = """points AS (SELECT label AS graph_id, vec_id AS node_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"""
 
@@ -188,9 +190,9 @@ def rw_transition_k2(spark, d):
     return _r(pairs.walk(edges, nodes, 2), 6, "p")
 
 
-@query(f"WITH {NODES} SELECT a.graph_id, a.node_id AS i, b.node_id AS j, CASE WHEN abs(a.node_id - b.node_id) <= 3 THEN CAST(abs(a.node_id - b.node_id) AS INTEGER) END AS hops FROM nodes a JOIN nodes b ON a.graph_id = b.graph_id")
+@query(f"WITH {NODES} SELECT a.graph_id, a.node_id AS i, b.node_id AS j, CAST(abs(a.node_id - b.node_id) AS INTEGER) AS hops FROM nodes a JOIN nodes b ON a.graph_id = b.graph_id")
 def hop_distance(spark, d):
-    return pairs.hop_distance(*_both(spark, d), longest=3)
+    return pairs.hop_distance(*_both(spark, d))
 
 
 @query(f"WITH {EDGES}, {_DEG.split(', p AS')[0]} SELECT e.graph_id, e.src, e.dst, round(1 / sqrt(CAST(a.deg AS DOUBLE) * b.deg), 6) AS w FROM edges e JOIN deg a ON a.graph_id = e.graph_id AND a.node_id = e.src JOIN deg b ON b.graph_id = e.graph_id AND b.node_id = e.dst")

@@ -76,6 +76,15 @@ def normalize_zscore(spark, d):
     return rows.select("o_orderkey", F.round(labels.normalised(F.col("x"), s, "normal"), 6).alias("z"))
 
 
+@query("WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders WHERE o_orderkey % 10 < 8) SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 8 THEN 'train' WHEN o_orderkey % 10 = 8 THEN 'val' ELSE 'test' END AS split, round((o_totalprice - m) / s, 6) AS z FROM orders, s")
+def normalize_by_train(spark, d):
+    """The train split's statistics scale all splits."""
+    k = F.col("o_orderkey") % 10
+    o = _read(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("x"), F.when(k < 8, "train").when(k == 8, "val").otherwise("test").alias("split"))
+    out = labels.normalised_by(o, "x", "normal", F.col("split") == "train")
+    return out.select("o_orderkey", "split", F.round("x", 6).alias("z"))
+
+
 @query("SELECT o_orderkey, round((least(greatest(o_totalprice, 1000.0::DOUBLE), 200000.0::DOUBLE) - 1000.0::DOUBLE) / 199000.0::DOUBLE, 6) AS u FROM orders")
 def normalize_unit_clip(spark, d):
     rows, s = _with_stats(spark, d)
@@ -127,11 +136,29 @@ def split_test_seen(spark, d):
     return splits.split_unseen(docs.where("doc_id % 4 <> 0").select("k").distinct(), docs.where("doc_id % 4 = 0"), "k", 0.2, 0.1)
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM documents WHERE doc_id < 600")
+@query(f"""WITH seen AS (SELECT DISTINCT md5(text) AS k FROM documents WHERE doc_id % 4 = 0), r AS (SELECT DISTINCT md5(text) AS k FROM documents WHERE doc_id % 4 <> 0), u AS (SELECT k FROM r WHERE k NOT IN (SELECT k FROM seen WHERE k IS NOT NULL) OR k IS NULL)
+    SELECT k, {_SPLIT} AS split FROM (SELECT k, row_number() OVER (ORDER BY {_H(42, 'k')}, k) - 1 AS r, count(*) OVER () AS n FROM u) UNION ALL SELECT k, 'train' FROM r WHERE k IN (SELECT k FROM seen)""")
+def split_overlap_to_train(spark, d):
+    docs = _read(spark, d, "documents").where("text is not null").select("doc_id", F.md5("text").alias("k"))
+    return splits.split_overlap_to_train(docs.where("doc_id % 4 <> 0").select("k").distinct(), docs.where("doc_id % 4 = 0"), "k", 0.2, 0.1)
+
+
+@query(f"WITH {NODES}, g AS (SELECT DISTINCT graph_id FROM nodes), s AS (SELECT graph_id, slot FROM g, (SELECT unnest(range(20)) AS slot)) SELECT s.graph_id, CAST(s.slot AS INTEGER) AS slot, coalesce(n.q, -1.0) AS q, coalesce(n.d, -1.0) AS d, n.node_id IS NOT NULL AS mask FROM s LEFT JOIN nodes n ON n.graph_id = s.graph_id AND n.node_id = s.slot")
+def dense_batch(spark, d):
+    """Twenty slots a graph, filled with -1 where it has fewer nodes."""
+    return collate.to_dense(graphs.order_nodes(_read(spark, d, "lineitem")), ["q", "d"], 20, -1.0)
+
+
+@query(f"WITH {NODES} SELECT graph_id, CAST(node_id AS INTEGER) AS node_id, q, d FROM nodes")
+def dense_to_sparse(spark, d):
+    return collate.from_dense(dense_batch(spark, d), ["q", "d"])
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM documents")
 def split_file(spark, d):
     docs = _read(spark, d, "documents").select("doc_id")
     one = lambda m: F.when(F.col("doc_id") % 3 == m, F.col("doc_id").cast("double")).otherwise(F.lit(float("nan")))
-    return splits.file_split(docs, docs.where("doc_id < 600").select(one(0).alias("train"), one(1).alias("val"), one(2).alias("test")), "doc_id")
+    return splits.file_split(docs, docs.select(one(0).alias("train"), one(1).alias("val"), one(2).alias("test")), "doc_id")
 
 
 @query(f"SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY {_H(3, 'doc_id')}, doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE r < floor(n * CASE source WHEN 'src0' THEN 0.5::DOUBLE WHEN 'src1' THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END)")

@@ -38,7 +38,7 @@ def nan_mean_std_median(spark, d):
 def nan_mad(spark, d):
     v = _values(spark, d)
     middle = v.groupBy("k").agg(nanstats.nan_median("x").alias("m"))
-    return _r(v.join(F.broadcast(middle), "k").withColumn("a", F.abs(F.col("x") - F.col("m"))).groupBy("k").agg((1.4826 * nanstats.nan_median("a")).alias("mad")))
+    return _r(v.join(middle, "k").withColumn("a", F.abs(F.col("x") - F.col("m"))).groupBy("k").agg((1.4826 * nanstats.nan_median("a")).alias("mad")))
 
 
 @query(f"WITH {PREDS} SELECT task, round(avg(abs(pred - target)), 6) AS mae, round(avg(pow(pred - target, 2)), 6) AS mse, round(sqrt(avg(pow(pred - target, 2))), 6) AS rmse FROM ok GROUP BY task")
@@ -166,3 +166,34 @@ def ensemble_reduce(spark, d):
     members = F.explode(F.array(F.round("pred", 6), F.round(F.col("pred") * F.col("pred"), 6), F.round(1 - F.col("pred"), 6), F.lit(0.25)))
     rows = predictions(spark, d).select("task", "row_id", members.alias("v"))
     return rows.groupBy("task", "row_id").agg(nanstats.nan_median("v").alias("median"), F.round(F.avg("v"), 9).alias("mean"), F.max("v").alias("max"))
+
+
+# three scores a line item against its flag; the highest score is the predicted class
+_CLASSES = """c AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS t, l_quantity AS s0, l_discount * 500 AS s1, l_tax * 600 AS s2 FROM lineitem),
+    h AS (SELECT t, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS p FROM c),
+    k AS (SELECT x.k AS class, count(*) FILTER (t = x.k AND p = x.k) AS tp, count(*) FILTER (t <> x.k AND p = x.k) AS fp, count(*) FILTER (t = x.k AND p <> x.k) AS fn, count(*) FILTER (t <> x.k AND p <> x.k) AS tn, count(*) FILTER (t = x.k) AS support
+      FROM h, (VALUES (0), (1), (2)) x(k) GROUP BY x.k)"""
+_PER_CLASS = "round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(tn / nullif(tn + fp, 0), 0), 6) AS specificity, round(coalesce(2 * tp / nullif(2 * tp + fn + fp, 0), 0), 6) AS fbeta"
+_NAMES = ("accuracy", "precision", "recall", "specificity", "fbeta")
+
+
+def _classes(spark, d):
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    return metrics.class_counts(spark.read.parquet(f"{d}/lineitem.parquet").select(flag.alias("target"), F.array(F.col("l_quantity"), F.col("l_discount") * 500, F.col("l_tax") * 600).alias("scores")))
+
+
+@query(f"WITH {_CLASSES} SELECT class, tp, fp, fn, tn, support FROM k")
+def multiclass_counts(spark, d):
+    return _classes(spark, d)
+
+
+@query(f"WITH {_CLASSES} SELECT class, support, {_PER_CLASS} FROM k")
+def multiclass_per_class(spark, d):
+    return _r(metrics.averaged(_classes(spark, d), None), 6, *_NAMES)
+
+
+@query(f"WITH {_CLASSES}, m AS (SELECT support, {_PER_CLASS.replace('round(', '(').replace(', 6)', ')')} FROM k) SELECT 'macro' AS average, {', '.join(f'round(avg({n}), 6) AS {n}' for n in _NAMES)} FROM m UNION ALL SELECT 'weighted', {', '.join(f'round(sum({n} * support) / sum(support), 6)' for n in _NAMES)} FROM m UNION ALL SELECT 'micro', {_PER_CLASS} FROM (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM k)")
+def multiclass_averages(spark, d):
+    counted = _classes(spark, d)
+    parts = [metrics.averaged(counted, a).select(F.lit(a).alias("average"), *_NAMES) for a in ("macro", "weighted", "micro")]
+    return _r(parts[0].unionByName(parts[1]).unionByName(parts[2]), 6, *_NAMES)

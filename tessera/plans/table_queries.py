@@ -46,8 +46,11 @@ def commute_path(spark, d):
     return encodings.encode(*_path_graphs(spark, d), encodings.commute, "nodepair").withColumn("v", F.abs(F.round("v", 5)))
 
 
-@query(f"""WITH {_PAIR}, m AS (SELECT graph_id, i, avg(dist) AS row_mean FROM r GROUP BY ALL), g AS (SELECT graph_id, avg(dist) AS mean FROM r GROUP BY ALL), l AS (SELECT r.graph_id, r.i, r.j, -0.5::DOUBLE * (dist - a.row_mean - b.row_mean + mean) AS v FROM r JOIN m a ON a.graph_id = r.graph_id AND a.i = r.i JOIN m b ON b.graph_id = r.graph_id AND b.i = r.j JOIN g ON g.graph_id = r.graph_id)
-    SELECT x.graph_id, x.i, x.j, round(x.v - y.v, 4) + 0.0 AS v FROM l x JOIN l y ON y.graph_id = x.graph_id AND y.i = x.j AND y.j = x.j""")
+# in a path of n nodes, the hops from node i to all others are i (i + 1) / 2 to the left and (n - 1 - i) (n - i) / 2 to the right
+_MEAN = "(({0} * ({0} + 1) + (size - 1 - {0}) * (size - {0})) / (2 * size))"
+
+
+@query(f"WITH {_PAIR} SELECT graph_id, i, j, round(0.5::DOUBLE * ({_MEAN.format('i')} - {_MEAN.format('j')} - dist), 4) + 0.0 AS v FROM r")
 def electrostatic_path(spark, d):
     out = encodings.encode(*_path_graphs(spark, d), encodings.electrostatic, "nodepair")
     return out.withColumn("v", F.round("v", 4) + F.lit(0.0))
@@ -79,10 +82,10 @@ def pack_hybrid(spark, d):
     return _packed(spark, d, "hybrid")
 
 
-@query("SELECT n_name, p_brand, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE p_name LIKE '%1%' AND p_type IS NOT NULL GROUP BY ALL")
+@query("SELECT n_name, p_brand, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE p_name LIKE '%red%' AND p_type IS NOT NULL GROUP BY ALL")
 def annotation_join(spark, d):
     """Assay rows with their annotations: small tables are broadcast by their size, filters reach the scans."""
-    part = _read(spark, d, "part").where(F.col("p_name").contains("1") & F.col("p_type").isNotNull()).select("p_partkey", "p_brand")
+    part = _read(spark, d, "part").where(F.col("p_name").contains("red") & F.col("p_type").isNotNull()).select("p_partkey", "p_brand")
     supplier = _read(spark, d, "supplier").join(_read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
     rows = _read(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity").join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.groupBy("n_name", "p_brand").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
