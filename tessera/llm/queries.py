@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, langid, licenses, line_dedup, ngram_join, packing, pii, quality, toxicity, warc
+from tessera.llm import alignment, decontam, langid, licenses, line_dedup, ngram_join, packing, pii, pu_quality, quality, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,7 +82,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "rule")
 
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_line_dedup": op2_line_dedup, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_licenses": op7_licenses, "op8_language": op8_language, "op9_warc": op9_warc, "op10_quality": op10_quality}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = alignment.align(_table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", *alignment.NUMBERS, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
+def _held_out(doc_id: str) -> Column:
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1
+
+
+def op12_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learnable = F.coalesce(~_held_out("id"), F.lit(False))
+    scored = pu_quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learnable)
+    return scored.select("doc_id", F.coalesce(_held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op2_line_dedup": op2_line_dedup, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_licenses": op7_licenses, "op8_language": op8_language, "op9_warc": op9_warc, "op10_quality": op10_quality, "op11_alignment": op11_alignment, "op12_pu_quality": op12_pu_quality, "op13_whitening": op13_whitening}
 
 ORACLE_SQL: dict[str, str] = {
     # base 32 of the SHA-1: five hex digits are twenty bits, four letters
