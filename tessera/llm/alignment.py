@@ -5,8 +5,8 @@ follows a character other than white space. No pretoken of the byte-level vocabu
 a place (the pieces are looked through for one that does), so a text's tokens are those of its spans in a row, and so are its
 groups and links. Each distinct span is therefore tokenized and aligned once, and counts as often as it occurs:
 
-    posexplode tokens -> windowed sums of their lengths -> full join on (span, end) -> running count of the common ends as group
-    id -> links by group where one side has one token, by a range join on blocks of bytes where both have more.
+    posexplode tokens -> windowed sums of their lengths -> equi-join of both on (span, end) -> running count of the common ends as
+    group id -> links by group where one side has one token, by a range join on blocks of bytes where both have more.
 
 Links are then counted by id pair over the corpus, and each text's row is put together from the rows of its spans.
 """
@@ -122,33 +122,40 @@ def tokenized(spans: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return named.mapInArrow(run, "cid long, span string, n long, a array<int>, a_len array<int>, b array<int>, b_len array<int>")
 
 
-def _side(tokens: DataFrame, s: str) -> DataFrame:
-    """cid, n, end, and id and start of each token of tokenizer s."""
-    rows = tokens.select("cid", "n", F.posexplode(F.arrays_zip(s, s + "_len")).alias("pos", "t"))
-    upto = Window.partitionBy("cid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum(f"t.{s}_len").over(upto).cast("int"))
-    return rows.select("cid", "n", "end", F.struct((F.col("end") - F.col(f"t.{s}_len")).alias("start"), "end", F.col(f"t.{s}").alias("id")).alias(s))
+def token_ends(tokens: DataFrame) -> DataFrame:
+    """cid, end, and a and b: start, end and id of the token of either tokenizer that ends there, null where none does.
+
+    Tokens of both are exploded from one table that is dealt by span; windowed sums of their lengths are their ends; and the full
+    equi-join of both sides on (span, end) is one aggregate over their union, so that all of it takes a single exchange of rows
+    that still hold whole token lists."""
+    listed = lambda s, of_b: F.zip_with(s, s + "_len", lambda i, n: F.struct(F.lit(of_b).alias("of_b"), i.alias("id"), n.alias("len")))
+    both = F.concat(listed("a", False), listed("b", True))
+    rows = tokens.select("cid", both.alias("t")).repartition("cid").select("cid", F.posexplode("t").alias("pos", "t")).select("cid", "pos", "t.*")
+    upto = Window.partitionBy("cid", "of_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum("len").over(upto).cast("int"))
+    side = lambda k, c: F.max(F.when(F.col("of_b") == F.lit(k), F.col(c)))
+    met = rows.groupBy("cid", "end").agg(side(False, "id").alias("ia"), side(False, "len").alias("la"), side(True, "id").alias("ib"), side(True, "len").alias("lb"))
+    token = lambda s: F.when(F.col("i" + s).isNotNull(), F.struct((F.col("end") - F.col("l" + s)).alias("start"), "end", F.col("i" + s).alias("id"))).alias(s)
+    return met.select("cid", "end", token("a"), token("b"))
 
 
 def token_groups(tokens: DataFrame) -> DataFrame:
-    """cid, n, g, a, b: the tokens of each group, in order. Groups end where a token of each tokenizer does."""
-    a, b = _side(tokens, "a"), _side(tokens, "b")
-    ends = a.join(b.withColumnRenamed("n", "nb"), ["cid", "end"], "full").select("cid", "end", F.coalesce("n", "nb").alias("n"), "a", "b")
+    """cid, g, a, b: the tokens of each group, in order. Groups end where a token of each tokenizer does."""
     cut = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)
     before = F.sum(cut).over(Window.partitionBy("cid").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)) - cut
-    grouped = ends.withColumn("g", before.cast("int")).groupBy("cid", "g")
-    return grouped.agg(F.first("n").alias("n"), F.sort_array(F.collect_list("a")).alias("a"), F.sort_array(F.collect_list("b")).alias("b"))
+    grouped = token_ends(tokens).withColumn("g", before.cast("int")).groupBy("cid", "g")
+    return grouped.agg(F.sort_array(F.collect_list("a")).alias("a"), F.sort_array(F.collect_list("b")).alias("b"))
 
 
 def links_between(groups: DataFrame) -> DataFrame:
-    """cid, g, n, a, b of groups that have several tokens of both: a row for each two whose bytes overlap. Tokens meet in the
+    """cid, a, b: a row for each two tokens of a group (cid, g, a, b) whose bytes overlap. Tokens meet in the
     blocks of BLOCK bytes that they touch, and count in the one in which the later of them starts, so a group of any length
     has at most BLOCK * BLOCK comparisons a block."""
     first, last = F.floor(F.col("t.start") / BLOCK), F.floor((F.col("t.end") - 1) / BLOCK)
-    side = lambda s: groups.select("cid", "g", "n", F.explode(s).alias("t")).select("cid", "g", "n", F.col("t").alias(s), F.explode(F.sequence(first, last)).alias("block"))
-    met = side("a").join(side("b").drop("n"), ["cid", "g", "block"])
+    side = lambda s: groups.select("cid", "g", F.explode(s).alias("t")).select("cid", "g", F.col("t").alias(s), F.explode(F.sequence(first, last)).alias("block"))
+    met = side("a").join(side("b"), ["cid", "g", "block"])
     later = F.greatest("a.start", "b.start")
-    return met.where((F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")) & (F.floor(later / BLOCK) == F.col("block"))).select("cid", "n", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return met.where((F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")) & (F.floor(later / BLOCK) == F.col("block"))).select("cid", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def aligned_spans(tokens: DataFrame, most_pairs: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
@@ -159,26 +166,23 @@ def aligned_spans(tokens: DataFrame, most_pairs: int = 1_000_000) -> tuple[DataF
     single = F.least(F.size("a"), F.size("b")) == 1
     every = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
     rows = token_groups(tokens).select(
-        "cid", "g", "n", F.size("a").alias("na"), F.size("b").alias("nb"), F.concat_ws("|", ids("a"), ids("b")).alias("text"), F.when(single, every).otherwise(F.array().cast("array<struct<a:int,b:int>>")).alias("links"),
-        *[F.when(~single, F.col(s)).alias(s) for s in "ab"],
+        "cid", "g", F.size("a").alias("na"), F.size("b").alias("nb"), F.concat_ws("|", ids("a"), ids("b")).alias("text"), F.when(single, every).otherwise(F.array().cast("array<struct<a:int,b:int>>")).alias("links"),
+        F.when(~single, F.struct("g", "a", "b")).alias("several"),
     )
-    several = F.when(F.col("a").isNotNull(), F.struct("g", "a", "b"))
     spans = saved(rows.groupBy("cid").agg(
-        F.first("n").alias("n"), F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.count("*").alias("n_groups"), F.flatten(F.collect_list("links")).alias("links"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "text"))), lambda x: x["text"]), ";").alias("groups"), F.collect_list(several).alias("several"),
-    ), "aligned")
-    wide = spans.where(F.size("several") > 0).select("cid", "n", F.explode("several").alias("x")).select("cid", "n", "x.*")
-    links = spans.select("cid", "n", F.explode("links").alias("x")).select("cid", "n", "x.*").union(links_between(wide))
-    links = saved(links.groupBy("cid", "a", "b").agg(F.first("n").alias("n"), F.count("*").alias("times")), "links")
-    counts = saved(links.groupBy("a", "b").agg(F.sum(F.col("n") * F.col("times")).alias("count")), "pair-counts")
+        F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.count("*").alias("n_groups"), F.flatten(F.collect_list("links")).alias("links"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "text"))), lambda x: x["text"]), ";").alias("groups"), F.collect_list("several").alias("several"),
+    ).join(tokens.select("cid", "span", "n"), "cid"), "aligned")
+    wide = links_between(spans.where(F.size("several") > 0).select("cid", F.explode("several").alias("x")).select("cid", "x.*"))
+    wide = saved(wide.groupBy("cid").agg(F.collect_list(F.struct("a", "b")).alias("more")), "wide-links")
+    linked = spans.join(wide, "cid", "left").select("cid", "n", F.explode(F.concat("links", F.coalesce("more", F.array().cast("array<struct<a:int,b:int>>")))).alias("x"))
+    counts = saved(linked.groupBy("x.a", "x.b").agg(F.sum("n").alias("count")), "pair-counts")
     highest = counts.groupBy("b").agg(F.max("count").alias("highest"))
     pairs = saved(counts.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best")), "pairs")
     known = F.broadcast(pairs) if pairs.count() <= most_pairs else pairs
-    sums = links.join(known, ["a", "b"]).groupBy("cid").agg(
-        F.sum("times").alias("n_links"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum")
-    )
-    out = saved(tokens.select("cid", "span").join(spans.drop("n", "links", "several").join(sums, "cid"), "cid").join(spans.select("cid", "n"), "cid").drop("cid"), "spans")
-    removed(spans, links, counts)
+    sums = linked.select("cid", "x.a", "x.b").join(known, ["a", "b"]).groupBy("cid").agg(F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    out = saved(spans.drop("links", "several").join(sums, "cid").drop("cid"), "spans")
+    removed(spans, wide, counts)
     return out, pairs
 
 
