@@ -130,7 +130,8 @@ def token_ends(tokens: DataFrame) -> DataFrame:
     that still hold whole token lists."""
     listed = lambda s, of_b: F.zip_with(s, s + "_len", lambda i, n: F.struct(F.lit(of_b).alias("of_b"), i.alias("id"), n.alias("len")))
     both = F.concat(listed("a", False), listed("b", True))
-    rows = tokens.select("cid", both.alias("t")).repartition("cid").select("cid", F.posexplode("t").alias("pos", "t")).select("cid", "pos", "t.*")
+    dealt = tokens.select("cid", "a", "a_len", "b", "b_len").repartition("cid")  # plain lists of numbers, a fifth of what structs take
+    rows = dealt.select("cid", F.posexplode(both).alias("pos", "t")).select("cid", "pos", "t.*")
     upto = Window.partitionBy("cid", "of_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum("len").over(upto).cast("int"))
     side = lambda k, c: F.max(F.when(F.col("of_b") == F.lit(k), F.col(c)))
@@ -186,6 +187,18 @@ def aligned_spans(tokens: DataFrame, most_pairs: int = 1_000_000) -> tuple[DataF
     return out, pairs
 
 
+def least_count(spans: DataFrame, most: int) -> int:
+    """The smallest power of 1.05 from which on not more than `most` spans occur so often; a few hundred sums decide it."""
+    step = F.floor(F.log(F.lit(1.05), F.col("n").cast("double")) + 1e-9)
+    found, least = 0, 1 << 62
+    for r in spans.groupBy(step.alias("step")).agg(F.count("*").alias("spans"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():
+        found += r["spans"]
+        if found > most:
+            break
+        least = r["n"]
+    return least
+
+
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 1 << 17) -> DataFrame:
     """One row a document: id, n_a, n_b, n_groups, n_links, n_best, count_sum (long) and groups, its groups as
     `a1,a2|b1;a3|b2,b3` (ids of A and B). A is a byte-level BPE file that reads space + text, B a sentencepiece model that adds
@@ -194,12 +207,13 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     Null and empty texts, and those that B does not give back byte for byte, have no tokens: zeros and an empty string, and
     their links do not count. Repeated rows give a row each and count each time. Empty tables give empty ones; other
     columns are not read. The rows of the `frequent` commonest spans of up to 512 bytes go to the tasks (about 60 MB at most with
-    the usual 131,072); all others are joined by span, where no span has more than 1 / `frequent` of all occurrences. Texts are
+    the usual 131,072); all others are joined by span, where a span is not among the commonest, so it has a small part of all occurrences. Texts are
     told apart by 64-bit hashes for that join only.
     """
     tokens = saved(tokenized(span_counts(docs, a_path, b_path, text_col), a_path, b_path), "span-tokens")
     spans, _ = aligned_spans(tokens)
-    top = spans.where(F.octet_length("span") <= 512).orderBy(F.desc("n"), "span").limit(frequent).toPandas()
+    removed(tokens)
+    top = spans.where((F.col("n") >= least_count(spans, frequent)) & (F.octet_length("span") <= 512)).drop("n").toPandas()
     names, known_groups = top["span"].tolist(), top["groups"].tolist()
     numbers = top[list(NUMBERS)].to_numpy(np.int64).reshape(-1, len(NUMBERS))
 
