@@ -189,7 +189,7 @@ def aligned_spans(tokens: DataFrame, most_pairs: int = 1_000_000) -> tuple[DataF
 
 def least_count(spans: DataFrame, most: int) -> int:
     """The smallest power of 1.05 from which on not more than `most` spans occur so often; a few hundred sums decide it."""
-    step = F.floor(F.log(F.lit(1.05), F.col("n").cast("double")) + 1e-9)
+    step = F.floor(F.log(1.05, F.col("n").cast("double")) + 1e-9)
     found, least = 0, 1 << 62
     for r in spans.groupBy(step.alias("step")).agg(F.count("*").alias("spans"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():
         found += r["spans"]
