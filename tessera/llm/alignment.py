@@ -237,8 +237,10 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     wanted = rows.select("th", "text").mapInArrow(rare, "th long, pos int, span string").repartition("span").dropDuplicates(["span", "th", "pos"])
-    found = wanted.join(spans.drop("n"), "span").groupBy("th").agg(F.sort_array(F.collect_list(F.struct("pos", *NUMBERS, "groups"))).alias("rare"))
-    both = rows.join(found, "th", "left").select("id", "text", "rare.pos", *[F.col(f"rare.{c}").alias(c) for c in NUMBERS], "rare.groups")
+    # place and groups in one string, numbers already summed: what is exchanged are a few dozen bytes a rare span
+    known = spans.select("span", *NUMBERS, "groups")
+    found = wanted.join(known, "span").groupBy("th").agg(*[F.sum(c).alias(c) for c in NUMBERS], F.collect_list(F.concat_ws(":", F.col("pos").cast("string"), "groups")).alias("rare"))
+    both = rows.join(found, "th", "left").select("id", "text", "rare", *NUMBERS)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, index = pair_of(a_path, b_path), {s: k for k, s in enumerate(names)}
@@ -256,12 +258,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                     parts = [known_groups[i] if i >= 0 else "" for i in at.tolist()]
                     out[r] = numbers[at[at >= 0]].sum(axis=0)
                     if len(missing):
-                        own = [batch.column(c)[r].values for c in range(2, 3 + len(NUMBERS) + 1)]
-                        if own[0] is None or not np.array_equal(own[0].to_numpy(), missing):
+                        own = dict(x.split(":", 1) for x in batch.column(2)[r].as_py() or ())
+                        if len(own) != len(missing):
                             raise ValueError("a span of a text was not aligned")
-                        out[r] += [int(c.to_numpy().sum()) for c in own[1:-1]]
-                        for p, g in zip(missing.tolist(), own[-1].to_pylist(), strict=True):
-                            parts[p] = g
+                        out[r] += [batch.column(c)[r].as_py() for c in range(3, 3 + len(NUMBERS))]
+                        for p in missing.tolist():
+                            parts[p] = own[str(p)]
                     groups.append(";".join(parts))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(out[:, c])) for c in range(len(NUMBERS))], pa.array(groups, pa.string())], names=["id", *NUMBERS, "groups"])
 
