@@ -26,6 +26,14 @@ def path_edges(nodes: DataFrame) -> DataFrame:
     return out.where("x.o is not null").select("graph_id", "src", (F.col("src") + F.col("x.step")).alias("dst"), "q_src", "d_src", F.col("x.o.q").alias("q_dst"), F.col("x.o.t").alias("t_dst"), (F.col("flag_src") == F.col("x.o.flag")).alias("same_flag"))
 
 
+def path_ends(nodes: DataFrame, feature: str = "x") -> DataFrame:
+    """Both directions between consecutive nodes with the array `feature` of both ends as x_src and x_dst, and same_flag; no join, no exchange."""
+    w = Window.partitionBy("graph_id").orderBy("node_id")
+    ends = lambda shift: F.lag(F.struct(F.lit(-shift).alias("step"), F.col(feature).alias("x"), "flag"), shift).over(w)
+    both = nodes.withColumns({"_a": ends(1), "_b": ends(-1)}).withColumn("_o", F.explode(F.array("_a", "_b"))).where("_o is not null")
+    return both.select("graph_id", F.col("node_id").alias("src"), (F.col("node_id") + F.col("_o.step")).alias("dst"), F.col(feature).alias("x_src"), F.col("_o.x").alias("x_dst"), (F.col("flag") == F.col("_o.flag")).alias("same_flag"))
+
+
 def gather(edges: DataFrame, nodes: DataFrame, end: str, columns: dict[str, str]) -> DataFrame:
     """edges with columns of the node at `end` (src or dst) under new names: x[src] as an equi-join."""
     side = nodes.select("graph_id", F.col("node_id").alias(end), *[F.col(c).alias(n) for c, n in columns.items()])

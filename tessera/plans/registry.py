@@ -23,7 +23,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 def _load() -> None:
     """The modules of queries register themselves when they are imported."""
-    from tessera.plans import graph_queries, label_queries, layer_queries, metric_queries, table_queries  # noqa: F401
+    from tessera.plans import graph_queries, label_queries, layer_queries, metric_queries, table_queries, vector_queries  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
