@@ -88,19 +88,30 @@ def electrostatic(a: np.ndarray) -> np.ndarray:
 
 
 def hops(a: np.ndarray) -> np.ndarray:
-    """Shortest path lengths; NaN between components."""
+    """Shortest path lengths; NaN between components. A breadth-first search from all nodes at once over lists of neighbours: each
+    pair (source, node) is looked at once, so the work is nodes times edges whatever the paths' lengths."""
     n = len(a)
     out = np.full((n, n), np.nan)
-    reach, step = np.eye(n, dtype=bool), 0
-    while True:
-        new = reach & np.isnan(out)
-        if not new.any():
-            return out
-        out[new] = step
-        reach, step = (reach.astype(int) @ ((a > 0).astype(int) + np.eye(n, dtype=int))) > 0, step + 1
-
-
-def _gathered(nodes: DataFrame, edges: DataFrame, max_nodes: int) -> DataFrame:
+    src, near = np.nonzero(a > 0)
+    begin = np.searchsorted(src, np.arange(n + 1))
+    source = at = np.arange(n)
+    step = 0
+    while len(at):
+        out[source, at] = step
+        many = begin[at + 1] - begin[at]
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        source, at = np.repeat(source, many), near[np.repeat(begin[at], many) + place]
+        new = np.unique((source * n + at)[np.isnan(out[source, at])])
+        source, at = np.divmod(new, max(n, 1))
+        step += 1
+    return out
+
+
+_CELLS = 200_000  # numbers that a task holds before it hands on a batch
+
+
+def gathered(nodes: DataFrame, edges: DataFrame, max_nodes: int) -> DataFrame:
+    """graph_id, n, src, dst: a row a graph with the ends of its edges; a graph over `max_nodes` is an error."""
     size = nodes.groupBy("graph_id").agg((F.max("node_id") + 1).alias("n"))
     size = size.withColumn("n", F.when(F.col("n") > max_nodes, F.raise_error(F.lit(f"a graph has more than {max_nodes} nodes")).cast("int")).otherwise(F.col("n")))
     ends = edges.groupBy("graph_id").agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"))
@@ -109,27 +120,34 @@ def _gathered(nodes: DataFrame, edges: DataFrame, max_nodes: int) -> DataFrame:
 
 def encode(nodes: DataFrame, edges: DataFrame, kernel: Kernel, level: str = "node", max_nodes: int = 512) -> DataFrame:
     """kernel(adjacency) for every graph: [N, F] gives a row a node (graph_id, node_id, pe), [N, N] a row a pair (graph_id, i, j, v);
-    NaN becomes NULL. Graphs without nodes give nothing."""
+    NaN becomes NULL in pairs. Graphs without nodes give nothing. A task holds one graph's result and a bounded batch of others."""
     if level not in ("node", "nodepair"):
         raise ValueError(f"kernels give node or nodepair features, not {level!r}")
     node = level == "node"
     schema = "graph_id long, node_id int, pe array<double>" if node else "graph_id long, i int, j int, v double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, cells = [], 0
         for batch in batches:
-            parts = []
             for g, n, src, dst in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                out = kernel(adjacency(n, np.array(src or [], int), np.array(dst or [], int)))
-                if node:
-                    parts.append((np.full(n, g), np.arange(n), list(out)))
-                else:
-                    i, j = np.divmod(np.arange(n * n), n)
-                    parts.append((np.full(n * n, g), i, j, out.ravel()))
-            columns = [[x for p in parts for x in p[c]] for c in range(3 if node else 4)]
-            if node:
-                arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.float64()))]
-            else:
-                arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(np.array(columns[3], float), pa.float64(), from_pandas=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["graph_id", "node_id", "pe"] if node else ["graph_id", "i", "j", "v"])
-
-    return _gathered(nodes, edges, max_nodes).select(F.col("graph_id").cast("long"), F.col("n").cast("int"), "src", "dst").mapInArrow(run, schema)
+                parts.append((g, kernel(adjacency(n, np.array(src or [], int), np.array(dst or [], int)))))
+                cells += parts[-1][1].size
+                if cells >= _CELLS:
+                    yield handed(parts)
+                    parts, cells = [], 0
+        if parts:
+            yield handed(parts)
+
+    def handed(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        sizes = [len(out) if node else len(out) ** 2 for _, out in parts]
+        graph = pa.array(np.repeat(np.array([g for g, _ in parts], np.int64), sizes))
+        values = np.concatenate([np.asarray(out, float).ravel() for _, out in parts])
+        numbers = np.concatenate([np.arange(k) for k in sizes]).astype(np.int32)
+        if node:
+            widths = np.repeat([out.shape[1] for _, out in parts], sizes)
+            pe = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)), pa.array(values))
+            return pa.RecordBatch.from_arrays([graph, pa.array(numbers), pe], names=["graph_id", "node_id", "pe"])
+        i, j = np.divmod(numbers, np.repeat([max(len(out), 1) for _, out in parts], sizes).astype(np.int32))
+        return pa.RecordBatch.from_arrays([graph, pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(values, pa.float64(), from_pandas=True)], names=["graph_id", "i", "j", "v"])
+
+    return gathered(nodes, edges, max_nodes).select(F.col("graph_id").cast("long"), F.col("n").cast("int"), "src", "dst").mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import encodings, graphs, labels, nn, packs
+from tessera.operators import encodings, graphs, labels, nn, packs, positional
 from tessera.plans.graph_queries import NODES
 from tessera.plans.registry import query
 from tessera.sources import readers, smiles
@@ -61,12 +61,48 @@ def hops_dense(spark, d):
     return encodings.encode(*_path_graphs(spark, d), encodings.hops, "nodepair")
 
 
-@query()
+# powers 1, 2, 4, 8 of a path's walk; a graph of one node is always back
+_WALK = f"""{_SIZE}, p AS (SELECT a.graph_id, a.node_id AS i, b.node_id AS j, 1.0::DOUBLE / CASE WHEN a.node_id IN (0, a.size - 1) THEN 1 ELSE 2 END AS p FROM n a JOIN n b ON a.graph_id = b.graph_id AND abs(a.node_id - b.node_id) = 1),
+    p2 AS (SELECT a.graph_id, a.i, b.j, sum(a.p * b.p) AS p FROM p a JOIN p b ON a.graph_id = b.graph_id AND a.j = b.i GROUP BY ALL), p4 AS (SELECT a.graph_id, a.i, b.j, sum(a.p * b.p) AS p FROM p2 a JOIN p2 b ON a.graph_id = b.graph_id AND a.j = b.i GROUP BY ALL),
+    p8 AS (SELECT a.graph_id, a.i, b.j, sum(a.p * b.p) AS p FROM p4 a JOIN p4 b ON a.graph_id = b.graph_id AND a.j = b.i GROUP BY ALL)"""
+_BACK = "CASE WHEN n.size = 1 THEN 1.0 ELSE round(coalesce({0}.p, 0.0), 6) END AS {0}"
+
+
+@query(f"""WITH {_WALK} SELECT n.graph_id, n.node_id, CASE WHEN n.size = 1 THEN 1.0 ELSE 0.0 END AS p1, {", ".join(_BACK.format(f"p{k}") for k in (2, 4, 8))} FROM n
+    {" ".join(f"LEFT JOIN p{k} ON p{k}.graph_id = n.graph_id AND p{k}.i = n.node_id AND p{k}.j = n.node_id" for k in (2, 4, 8))}""")
 def rw_return_dense(spark, d):
     pe = encodings.encode(*_path_graphs(spark, d), lambda a: encodings.walk_return(a, [1, 2, 4, 8]))
     return pe.select("graph_id", "node_id", *[F.round(F.col("pe")[k], 6).alias(f"p{s}") for k, s in enumerate((1, 2, 4, 8))])
 
 
+@query(f"WITH {_WALK} SELECT graph_id, i, j, k, round(p, 6) AS p FROM (SELECT *, 1 AS k FROM p UNION ALL SELECT *, 2 FROM p2 UNION ALL SELECT *, 4 FROM p4 UNION ALL SELECT *, 8 FROM p8)")
+def walk_power_series(spark, d):
+    """Powers 1, 2, 4 and 8 of each graph's random walk from one gather, each continued from the one before."""
+    return positional.walk_powers(*_path_graphs(spark, d), [1, 2, 4, 8]).withColumn("p", F.round("p", 6))
+
+
+_ROWS = f"{_PAIR}, per AS (SELECT graph_id, i AS node_id, any_value(size) AS size, avg(dist) AS mean, stddev_pop(dist) AS std, sum(dist) AS total, max(dist) AS far, sum({_MEAN.format('i')} - {_MEAN.format('j')} - dist) AS charge FROM r GROUP BY ALL)"
+
+
+@query(f"""WITH {_WALK}, {_ROWS.removeprefix(_SIZE + ", ")} SELECT n.graph_id, n.node_id, {", ".join(f"abs({_K.format(k=k)}) AS v{k}" for k in range(3)).replace("size", "n.size")}, {_BACK.format("p2")}, {_BACK.format("p4")},
+        round(2 * (n.size - 1) * mean, 4) AS commute_mean, round(2 * (n.size - 1) * std, 4) AS commute_std, CAST(total AS DOUBLE) AS hops_total, CAST(far AS DOUBLE) AS hops_far, round(0.5::DOUBLE * charge, 4) + 0.0 AS charge FROM n JOIN per ON per.graph_id = n.graph_id AND per.node_id = n.node_id
+    {" ".join(f"LEFT JOIN p{k} ON p{k}.graph_id = n.graph_id AND p{k}.i = n.node_id AND p{k}.j = n.node_id" for k in (2, 4))}""")
+def positional_encodings(spark, d):
+    """Five encodings from one gather a graph: eigenvalues, returns, commute times as node statistics, hops and electrostatics as rows of pairs."""
+    specs = {
+        "values": {"type": "laplacian_eigval", "num_pos": 3}, "back": {"type": "rw_return_probs", "ksteps": [2, 4]}, "commute": {"type": "commute", "level": "node"},
+        "hops": {"type": "graphormer"}, "charge": {"type": "electrostatic"},
+    }
+    pe = positional.encode_all(*_path_graphs(spark, d), specs)
+    row = lambda f: F.transform(f"pe.{f}", lambda x: F.get(x, F.lit(0)))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    at = lambda f, k: F.get(f"pe.{f}", F.lit(k))
+    return pe.select(
+        "graph_id", "node_id", *[F.abs(F.round(at("values", k), 5)).alias(f"v{k}") for k in range(3)], F.round(at("back", 0), 6).alias("p2"), F.round(at("back", 1), 6).alias("p4"),
+        F.round(at("commute", 1), 4).alias("commute_mean"), F.round(at("commute", 2), 4).alias("commute_std"), total(row("hops")).alias("hops_total"), F.array_max(row("hops")).alias("hops_far"), (F.round(total(row("charge")), 4) + F.lit(0.0)).alias("charge"),
+    )
+
+
 def _packed(spark, d, how):
     sizes = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).withColumn("grp", F.floor(F.col("l_orderkey") / 512))
     return packs.pack(sizes, "grp", "l_orderkey", "n", 32, how)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import attention, graphs, message, nn, pairs
+from tessera.operators import attention, directional, graphs, message, nn, pairs
 from tessera.plans.graph_queries import EDGES
 from tessera.plans.registry import query
 
@@ -85,3 +85,40 @@ def gated_edge_output(spark, d):
     nodes = graphs.order_nodes(_read(spark, d, "lineitem"))
     edges = graphs.path_edges(nodes).select("graph_id", "src", "dst", F.col("q_src").alias("x_src"), F.col("q_dst").alias("x_dst"), F.col("same_flag").cast("double").alias("f"))
     return message.gated_edges(edges, "f").withColumn("e", F.round("e", 5))
+
+
+_CUT, _ORDERS, _ZEROS = 1.2, 3, 2
+_BILINEAR = [[[0.5, -0.2], [0.1, 0.3], [-0.4, 0.6], [0.2, 0.1], [0.7, -0.5], [0.3, 0.2]], [[-0.3, 0.4], [0.6, 0.1], [0.2, -0.2], [0.5, 0.5], [-0.1, 0.3], [0.4, -0.6]]]
+
+
+def _sql_basis() -> list[str]:
+    """The spherical basis as SQL over d and t; zeros and norms are numbers, as they are in the columns."""
+    j = ["sin({x}) / ({x})", "(sin({x}) / pow({x}, 2) - cos({x}) / ({x}))", "((3 / pow({x}, 2) - 1) * sin({x}) / ({x}) - 3 * cos({x}) / pow({x}, 2))"]
+    p = ["1.0", "cos(t)", "(1.5 * cos(t) * cos(t) - 0.5)"]
+    out = []
+    for l in range(_ORDERS):
+        for z in directional.zeros(l, _ZEROS):
+            norm = (2 / _CUT**3) ** 0.5 / abs(directional._j(l + 1, z)) * ((2 * l + 1) / (4 * 3.141592653589793)) ** 0.5
+            out.append(f"{norm!r}::DOUBLE * {j[l].format(x=f'{z / _CUT!r}::DOUBLE * d')} * {p[l]}")
+    return out
+
+
+_SQL_SUMS = [f"{' + '.join(f'({w}::DOUBLE) * b{s} * x{c}' for s, row in enumerate(own) for c, w in enumerate(row))}" for own in _BILINEAR]
+
+
+@query(f"""WITH p AS (SELECT label AS g, vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT a.g, a.id AS i, b.id AS j, a.e[1] - b.e[1] AS dx, a.e[2] - b.e[2] AS dy, a.e[3] - b.e[3] AS dz, b.e[5] AS x0, b.e[6] AS x1,
+      sqrt((a.e[1]-b.e[1])*(a.e[1]-b.e[1]) + (a.e[2]-b.e[2])*(a.e[2]-b.e[2]) + (a.e[3]-b.e[3])*(a.e[3]-b.e[3])) AS dist FROM p a JOIN p b ON a.g = b.g AND a.id <> b.id),
+    e AS (SELECT g, j AS src, i AS dst, dx, dy, dz, x0, x1 FROM (SELECT *, row_number() OVER (PARTITION BY g, i ORDER BY round(dist, 9), j) AS r FROM n WHERE dist <= {_CUT}) WHERE r <= 4),
+    t AS (SELECT b.g, b.src, b.dst, a.x0, a.x1, sqrt(a.dx*a.dx + a.dy*a.dy + a.dz*a.dz) AS d, -b.dx AS ax, -b.dy AS ay, -b.dz AS az, -a.dx - b.dx AS kx, -a.dy - b.dy AS ky, -a.dz - b.dz AS kz FROM e a JOIN e b ON a.g = b.g AND a.dst = b.src AND a.src <> b.dst),
+    u AS (SELECT g, src, dst, x0, x1, d, atan2(sqrt(pow(ay*kz - az*ky, 2) + pow(az*kx - ax*kz, 2) + pow(ax*ky - ay*kx, 2)), ax*kx + ay*ky + az*kz) AS t FROM t),
+    v AS (SELECT g, src, dst, x0, x1, {', '.join(f'{b} AS b{s}' for s, b in enumerate(_sql_basis()))} FROM u), s AS (SELECT g, src, dst, sum({_SQL_SUMS[0]}) AS h0, sum({_SQL_SUMS[1]}) AS h1 FROM v GROUP BY ALL)
+    SELECT e.g AS graph_id, e.src, e.dst, round(coalesce(h0, 0.0), 5) AS h0, round(coalesce(h1, 0.0), 5) AS h1 FROM e LEFT JOIN s ON s.g = e.g AND s.src = e.src AND s.dst = e.dst""")
+def directional_messages(spark, d):
+    """Triplets over the four nearest points within a cutoff, a basis of three orders and two zeros, a bilinear sum a directed edge."""
+    at = [F.get("embedding", F.lit(k)).cast("double") for k in range(6)]
+    points = _read(spark, d, "embeddings").select(F.col("label").alias("graph_id"), F.col("vec_id").alias("node_id"), *[c.alias(n) for c, n in zip(at, ("x", "y", "z"), strict=False)], F.array(at[4], at[5]).alias("f"))
+    near = pairs.radius_join(points, ["x", "y", "z"], _CUT, 4).select("graph_id", F.col("j").alias("src"), F.col("i").alias("dst"))
+    ends = graphs.gather(graphs.gather(near, points, "src", {"x": "xs", "y": "ys", "z": "zs", "f": "x"}), points, "dst", {"x": "xd", "y": "yd", "z": "zd"})
+    edges = ends.select("graph_id", "src", "dst", *[(F.col(f"{c}d") - F.col(f"{c}s")).alias(f"d{c}") for c in "xyz"], "x")
+    out = directional.directional(edges, _BILINEAR, _CUT, _ORDERS, _ZEROS)
+    return out.select("graph_id", "src", "dst", F.round(F.get("h", F.lit(0)), 5).alias("h0"), F.round(F.get("h", F.lit(1)), 5).alias("h1"))
