@@ -201,7 +201,7 @@ def laplacian_sym_edges(spark, d):
     return _r(pairs.normalised_edges(edges, nodes, "sym"), 6, "w")
 
 
-@query(f"WITH {EDGES} SELECT a.graph_id, a.src AS k, a.dst AS j, b.dst AS i FROM edges a JOIN edges b ON a.graph_id = b.graph_id AND a.dst = b.src WHERE a.src <> b.dst")
+@query(f"WITH {EDGES} SELECT graph_id, unnest([n0, n1]) AS k, node_id AS j, unnest([n1, n0]) AS i FROM beside WHERE n0 IS NOT NULL AND n1 IS NOT NULL")
 def triplets(spark, d):
     return message.triplets(_both(spark, d)[1])
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import collate, graphs, labels, splits
-from tessera.plans.graph_queries import NODES
+from tessera.operators import collate, graphs, labels, packed, splits
+from tessera.plans.graph_queries import EDGES, NODES
 from tessera.plans.registry import query
 
 TASKS = """t AS (SELECT md5(text) AS mol_id, doc_id AS row_ord, quality, toxic FROM documents JOIN labels USING (doc_id))"""
@@ -225,12 +225,80 @@ def pack_sizes(spark, d):
     return collate.pack_fast(sizes, "l_orderkey", "n", 500, 7).groupBy("pack_id").agg(F.sum("n").alias("n_nodes"), F.count("*").alias("n_graphs"))
 
 
-@query(f"WITH {NODES}, z AS (SELECT graph_id, node_id, graph_id % 1000 AS pack_id FROM nodes) SELECT graph_id, node_id, pack_id, row_number() OVER (PARTITION BY pack_id ORDER BY graph_id, node_id) - 1 AS place FROM z")
+# packs of about 64 graphs, dealt as pack_fast does, and where each graph of a pack begins
+_PACKS = """s AS (SELECT l_orderkey AS graph_id, count(*) AS n FROM lineitem GROUP BY l_orderkey), r AS (SELECT *, row_number() OVER (ORDER BY n, graph_id) - 1 AS rn, (count(*) OVER () + 63) // 64 AS packs FROM s),
+    p AS (SELECT graph_id, n, row_number() OVER (PARTITION BY rn // packs ORDER BY md5('7|' || graph_id), graph_id) - 1 AS pack_id FROM r), st AS (SELECT *, CAST(sum(n) OVER (PARTITION BY pack_id ORDER BY graph_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - n AS start FROM p),
+    big AS (SELECT CAST((max(total) + 32) // 32 * 32 AS BIGINT) AS size FROM (SELECT sum(n) AS total FROM p GROUP BY pack_id))"""
+
+
+def _real_packs(spark, d) -> DataFrame:
+    """graph_id, n, pack_id of order graphs: strata by size dealt over as many packs as hold 64 graphs each."""
+    sizes = _read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("graph_id")).agg(F.count("*").alias("n"))
+    return collate.pack_fast(sizes, "graph_id", "n", max(1, -(-sizes.count() // 64)), 7).select("graph_id", "n", "pack_id")
+
+
+def _room(packs: DataFrame) -> int:
+    """A size that holds every pack and at least one node of padding: the next multiple of 32."""
+    return packed.largest(packs) // 32 * 32 + 32
+
+
+@query(f"WITH {NODES}, {_PACKS} SELECT graph_id, node_id, pack_id, start + node_id AS place FROM nodes JOIN st USING (graph_id)")
 def node_to_pack(spark, d):
-    nodes = graphs.order_nodes(_read(spark, d, "lineitem")).select("graph_id", "node_id")
-    return nodes.withColumn("pack_id", F.col("graph_id") % 1000).withColumn("place", (F.row_number().over(Window.partitionBy("pack_id").orderBy("graph_id", "node_id")) - 1).cast("long"))
+    """Pack and place of each node: its number after the sizes of the pack's graphs before."""
+    return packed.index(graphs.order_nodes(_read(spark, d, "lineitem")).select("graph_id", "node_id"), _real_packs(spark, d))
 
 
-@query("SELECT l_orderkey % 97 AS pack_id, CAST(count(*) AS BIGINT) AS n_nodes, CAST(2000 - count(*) AS BIGINT) AS n_fill FROM lineitem GROUP BY ALL")
+@query(f"WITH {_PACKS} SELECT pack_id, CAST(sum(n) AS BIGINT) AS n_nodes, CAST(any_value(size) - sum(n) AS BIGINT) AS n_fill FROM p, big GROUP BY pack_id")
 def pad_fixed(spark, d):
-    return collate.filler(_read(spark, d, "lineitem").select((F.col("l_orderkey") % 97).alias("pack_id")), "pack_id", 2000)
+    """Nodes that each pack lacks to the size of all."""
+    packs = _real_packs(spark, d)
+    rows = packed.index(graphs.order_nodes(_read(spark, d, "lineitem")).select("graph_id", "node_id"), packs)
+    return collate.filler(rows, "pack_id", _room(packs))
+
+
+@query(f"""WITH {NODES}, {_PACKS}, placed AS (SELECT pack_id, start + node_id AS slot, graph_id, q, p FROM nodes JOIN st USING (graph_id)), every AS (SELECT DISTINCT pack_id, unnest(range(size)) AS slot FROM p, big)
+    SELECT e.pack_id, CAST(e.slot AS INTEGER) AS slot, a.graph_id, CASE WHEN a.graph_id IS NULL THEN -1.0 ELSE a.q END AS q, CASE WHEN a.graph_id IS NULL THEN -1.0 ELSE a.p END AS p, a.graph_id IS NOT NULL AS mask FROM every e LEFT JOIN placed a ON a.pack_id = e.pack_id AND a.slot = e.slot""")
+def packed_dense(spark, d):
+    """Every slot of every pack, -1 where no node is."""
+    packs = _real_packs(spark, d)
+    placed = packed.index(graphs.order_nodes(_read(spark, d, "lineitem")).select("graph_id", "node_id", "q", "p"), packs)
+    return packed.to_packed(placed, ["q", "p"], _room(packs), -1.0).drop("node_id")
+
+
+@query(f"WITH {_PACKS} SELECT pack_id, start + unnest(range(n)) AS place, size - n AS masked, start AS first_seen FROM st, big")
+def packed_attention_rows(spark, d):
+    """The mask's row of each node, told by how many places it hides and which it shows first."""
+    packs = _real_packs(spark, d)
+    rows = packed.attention_rows(packs, _room(packs))
+    return rows.select("pack_id", "place", F.size(F.filter("masked", lambda m: m)).cast("long").alias("masked"), (F.array_position("masked", False) - 1).cast("long").alias("first_seen"))
+
+
+_ROOM = "graphs_ AS (SELECT max(c) + 1 AS most FROM (SELECT count(*) AS c FROM p GROUP BY pack_id)), edges_ AS (SELECT 2 * max(c) + 8 AS most FROM (SELECT sum(n - 1) AS c FROM p GROUP BY pack_id))"
+
+
+@query(f"""WITH {EDGES}, {_PACKS}, {_ROOM}, e AS (SELECT pack_id, count(*) AS real, sum((start + src) * 3 + start + dst) AS mark FROM edges JOIN st USING (graph_id) GROUP BY pack_id), g AS (SELECT pack_id, count(*) AS graphs, sum(n) AS total FROM p GROUP BY pack_id),
+      q AS (SELECT pack_id, sum(q * (start + node_id)) AS weighed FROM nodes JOIN st USING (graph_id) GROUP BY pack_id), l AS (SELECT pack_id, sum(o_totalprice) AS price FROM p JOIN orders ON o_orderkey = graph_id GROUP BY pack_id)
+    SELECT g.pack_id, CAST(size AS BIGINT) AS slots, CAST(total AS BIGINT) AS nodes, CAST(edges_.most AS BIGINT) AS edge_slots, coalesce(real, 0) AS edges, CAST(coalesce(mark, 0) + (edges_.most - coalesce(real, 0)) * 4 * (size - 1) AS BIGINT) AS edge_mark, CAST(graphs_.most AS BIGINT) AS graph_slots, graphs, CAST(size AS BIGINT) AS graph_nodes, round(weighed, 3) AS weighed, round(price, 2) AS price
+    FROM g LEFT JOIN e USING (pack_id) JOIN q USING (pack_id) JOIN l USING (pack_id), big, graphs_, edges_""")
+def combined_batch(spark, d):
+    """Packing, collation and padding of orders, each pack told by sums over its nodes, edges and graphs, padding included."""
+    prices = _read(spark, d, "orders").select(F.col("o_orderkey").alias("graph_id"), F.col("o_totalprice").alias("price"))
+    packs = _real_packs(spark, d)
+    nodes = graphs.order_nodes(_read(spark, d, "lineitem"))
+    most = packs.groupBy("pack_id").agg(F.count("*").alias("c"), F.sum(F.col("n") - 1).alias("e")).agg(F.max("c"), F.max("e")).first()
+    size = _room(packs)
+    b = packed.combined(nodes, graphs.path_edges(nodes), packs.join(prices, "graph_id"), ["q"], size, 2 * (most[1] or 0) + 8, (most[0] or 0) + 1, ["price"])
+    n = b.nodes.groupBy("pack_id").agg(F.count("*").alias("slots"), F.count_if("node_is_true").alias("nodes"), F.round(F.sum(F.when(F.col("node_is_true"), F.col("q") * F.col("place"))), 3).alias("weighed"))
+    e = b.edges.groupBy("pack_id").agg(F.count("*").alias("edge_slots"), F.count_if("edge_is_true").alias("edges"), F.sum(F.col("src") * 3 + F.col("dst")).alias("edge_mark"))
+    g = b.graphs.groupBy("pack_id").agg(F.count("*").alias("graph_slots"), F.count_if("graph_is_true").alias("graphs"), F.sum("n").alias("graph_nodes"), F.round(F.sum("price"), 2).alias("price"))
+    return n.join(e, "pack_id").join(g, "pack_id")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS key, count(*) AS n FROM lineitem GROUP BY l_orderkey), t AS (SELECT key, n, unnest(range(4)) AS trial FROM s), u AS (SELECT *, md5('5|' || trial || '|' || key) AS turn FROM t),
+    r AS (SELECT *, (row_number() OVER (PARTITION BY trial ORDER BY turn, key) - 1) // 256 AS lot FROM u), f AS (SELECT *, count(*) OVER (PARTITION BY trial, lot) AS held FROM r), k AS (SELECT *, (row_number() OVER (PARTITION BY trial, lot ORDER BY n, key) - 1) // 16 AS stratum FROM f WHERE held = 256),
+    p AS (SELECT *, row_number() OVER (PARTITION BY trial, lot, stratum ORDER BY md5('5|' || turn), key) AS pack FROM k), z AS (SELECT trial, lot, sum(n) AS total FROM p GROUP BY trial, lot, pack)
+    SELECT CAST(trial AS INTEGER) AS trial, count(DISTINCT lot) AS n_batches, CAST(max(total) AS BIGINT) AS largest FROM z GROUP BY trial""")
+def largest_pack(spark, d):
+    """Four shuffles of all orders in combined batches of 256, each packed into 16 packs."""
+    sizes = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return packed.estimate_largest(sizes, "l_orderkey", "n", 16, 256, 4, 5)
