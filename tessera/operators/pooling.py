@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from tessera.operators.message import aggregator
 
 
+def pooled(how: str, x: Column) -> Column:
+    """One of sum, mean, min, max, var, std, logsum as an aggregate; logsum is mean times ln(count)."""
+    return F.avg(x) * F.log(F.count(x)) if how == "logsum" else aggregator(how, x)
+
+
 def pool(rows: DataFrame, value: str, how: tuple[str, ...], by: str = "graph_id") -> DataFrame:
     """sum, mean, min, max, std, logsum of a column for each graph, in one aggregate; logsum is mean times ln(count)."""
     x = F.col(value)
-    one: dict[str, Column] = {h: F.avg(x) * F.log(F.count(x)) if h == "logsum" else aggregator(h, x) for h in how}
-    return rows.groupBy(by).agg(*[c.alias(h) for h, c in one.items()])
+    return rows.groupBy(by).agg(*[pooled(h, x).alias(h) for h in how])
 
 
 def virtual_node(nodes: DataFrame, value: str, how: str = "sum") -> DataFrame:

@@ -59,8 +59,8 @@ class Graph:
         return self._powers[k]
 
 
-def _eigen(g: Graph, num_pos: int, vectors: bool) -> np.ndarray:
-    out = np.zeros((g.n, num_pos))
+def _eigen(g: Graph, num_pos: int, vectors: bool, pad: float = 0.0) -> np.ndarray:
+    out = np.full((g.n, num_pos), float(pad))
     for own, w, v in g.blocks:
         k = min(num_pos, len(w))
         v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(len(w))] < 0, -1, 1)
@@ -68,6 +68,17 @@ def _eigen(g: Graph, num_pos: int, vectors: bool) -> np.ndarray:
     return out
 
 
+def _projections(g: Graph, num_spaces: int, tolerance: float = 1e-6) -> np.ndarray:
+    """How much of each node lies in the eigenspaces of the lowest eigenvalues: the diagonal of their projections, which no choice
+    of a basis changes, be it a sign or a rotation within a repeated eigenvalue. 0 where a component has fewer."""
+    out = np.zeros((g.n, num_spaces))
+    for own, w, v in g.blocks:
+        space = np.cumsum(np.concatenate([[0], np.diff(w) > tolerance * max(w.max(initial=0.0), 1.0)])) if len(w) else np.zeros(0, int)
+        for k in range(min(num_spaces, int(space.max(initial=-1)) + 1)):
+            out[own, k] = (v[:, space == k] ** 2).sum(axis=1)
+    return out
+
+
 def _returns(g: Graph, ksteps: list[int], space_dim: float = 0) -> np.ndarray:
     if g.n == 1:
         return np.ones((1, len(ksteps)))
@@ -81,8 +92,9 @@ def _commute(g: Graph) -> np.ndarray:
 
 #: type -> (level it is made at, kernel over a Graph); node kernels give [n, f], pair kernels [n, n, f]
 TYPES: dict[str, tuple[str, Callable[..., np.ndarray]]] = {
-    "laplacian_eigvec": ("node", lambda g, num_pos: _eigen(g, num_pos, True)),
-    "laplacian_eigval": ("node", lambda g, num_pos: _eigen(g, num_pos, False)),
+    "laplacian_eigvec": ("node", lambda g, num_pos, pad=0.0: _eigen(g, num_pos, True, pad)),
+    "laplacian_eigval": ("node", lambda g, num_pos, pad=0.0: _eigen(g, num_pos, False, pad)),
+    "laplacian_projection": ("node", _projections),
     "rw_return_probs": ("node", _returns),
     "rw_transition_probs": ("nodepair", lambda g, ksteps: np.stack([g.power(k) for k in ksteps], axis=2)),
     "electrostatic": ("nodepair", lambda g: (g.inverse - np.diag(g.inverse)[None, :])[:, :, None]),

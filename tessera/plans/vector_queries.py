@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import attention, directional, graphs, message, nn, pairs
+from tessera.operators import attention, directional, encoders, graphs, message, nn, pairs, positional
 from tessera.plans.graph_queries import EDGES
 from tessera.plans.registry import query
 
@@ -122,3 +122,56 @@ def directional_messages(spark, d):
     edges = ends.select("graph_id", "src", "dst", *[(F.col(f"{c}d") - F.col(f"{c}s")).alias(f"d{c}") for c in "xyz"], "x")
     out = directional.directional(edges, _BILINEAR, _CUT, _ORDERS, _ZEROS)
     return out.select("graph_id", "src", "dst", F.round(F.get("h", F.lit(0)), 5).alias("h0"), F.round(F.get("h", F.lit(1)), 5).alias("h1"))
+
+
+_PHI = [([[0.7, 1.5], [-0.4, 2.0]], [0.1, -0.3], "tanh")]
+_RHO = [([[1.0, -0.5], [0.25, 2.0]], [0.0, 0.5], "none")]
+_GIN = [[([[1.2], [-0.8]], [0.3, 0.2], "tanh")]]
+_SPECS = {"values": {"type": "laplacian_eigval", "num_pos": 3, "pad": float("nan")}, "vectors": {"type": "laplacian_eigvec", "num_pos": 3, "pad": float("nan")}}
+_SQL_VECTORS = """n AS (SELECT graph_id, node_id, CAST(count(*) OVER (PARTITION BY graph_id) AS DOUBLE) AS size FROM nodes), k AS (SELECT graph_id, node_id, size, unnest(range(3)) AS k FROM n),
+    v AS (SELECT graph_id, node_id, size, k, 2 - 2 * cos(pi() * k / size) AS w, CASE WHEN k = 0 THEN 1 / sqrt(size) ELSE sqrt(2 / size) * cos(pi() * k * (node_id + 0.5) / size) END AS v FROM k WHERE k < size)"""
+
+
+def _eigen(spark, d):
+    nodes = graphs.order_nodes(_read(spark, d, "lineitem"))
+    edges = graphs.path_edges(nodes)
+    return positional.encode_all(nodes, edges, _SPECS).select("graph_id", "node_id", "pe.*"), edges
+
+
+@query(f"""WITH {EDGES}, {_SQL_VECTORS}, p AS (SELECT graph_id, node_id, sum(tanh(0.7::DOUBLE * w + 1.5::DOUBLE * v + 0.1) + tanh(0.7::DOUBLE * w - 1.5::DOUBLE * v + 0.1)) AS a, sum(tanh(-0.4::DOUBLE * w + 2.0::DOUBLE * v - 0.3) + tanh(-0.4::DOUBLE * w - 2.0::DOUBLE * v - 0.3)) AS b FROM v GROUP BY ALL)
+    SELECT graph_id, CAST(node_id AS INTEGER) AS node_id, round(a - 0.5::DOUBLE * b, 5) AS h0, round(0.25::DOUBLE * a + 2 * b + 0.5, 5) AS h1 FROM p""")
+def laplacian_encoder_sign_free(spark, d):
+    """Eigenvalues and eigenvectors of a graph through phi with both signs, summed, and rho."""
+    out = encoders.laplacian_encoder(_eigen(spark, d)[0], _PHI, _RHO)
+    return out.select("graph_id", "node_id", *[F.round(F.get("h", F.lit(k)), 5).alias(f"h{k}") for k in range(2)])
+
+
+@query(f"""WITH {EDGES}, {_SQL_VECTORS}, s AS (SELECT graph_id, node_id, k, (1 + CASE WHEN size = 1 THEN 0 WHEN node_id IN (0, size - 1) THEN 1 ELSE 2 END - w) * v AS s FROM v),
+    p AS (SELECT graph_id, node_id, k, tanh(1.2::DOUBLE * s + 0.3) + tanh(-1.2::DOUBLE * s + 0.3) AS a, tanh(-0.8::DOUBLE * s + 0.2) + tanh(0.8::DOUBLE * s + 0.2) AS b FROM s)
+    SELECT graph_id, CAST(node_id AS INTEGER) AS node_id, round(sum((k + 1) * a - 0.5::DOUBLE * b), 5) AS h0, round(sum(0.25::DOUBLE * a + (2 - k) * b), 5) AS h1 FROM p GROUP BY ALL""")
+def sign_net(spark, d):
+    """phi is one graph layer over each eigenvector; with L v = w v a node's neighbours sum to (degree - w) v, which is what the SQL uses."""
+    pe, edges = _eigen(spark, d)
+    rho = [([[1.0, -0.5, 2.0, -0.5, 3.0, -0.5], [0.25, 2.0, 0.25, 1.0, 0.25, 0.0]], None, "none")]
+    out = encoders.sign_net(pe, edges, _GIN, rho, 3)
+    return out.select("graph_id", "node_id", *[F.round(F.get("h", F.lit(k)), 5).alias(f"h{k}") for k in range(2)])
+
+
+@query(f"""WITH {_PATH}, a AS (SELECT n.graph_id, n.node_id, n.q AS x0, 10 * n.d AS x1, n.q + coalesce(sum(e.q_src), 0.0) AS y0, 10 * n.d + coalesce(sum(10 * e.d_src), 0.0) AS y1 FROM nodes n LEFT JOIN ends e ON e.graph_id = n.graph_id AND e.dst = n.node_id GROUP BY n.graph_id, n.node_id, n.q, n.d),
+    f AS (SELECT graph_id, avg(x0) AS f0, avg(x1) AS f1, sum(greatest(0.1::DOUBLE * y0 - y1, 0.0)) AS f2, max(greatest(0.1::DOUBLE * y0 - y1, 0.0)) AS f3 FROM a GROUP BY ALL)
+    SELECT graph_id, round(f0, 4) AS f0, round(f1, 4) AS f1, round(f2, 4) AS f2, round(f3, 4) AS f3 FROM f""")
+def fingerprint_stages(spark, d):
+    """Readouts of two stages of a chain of four: the input's means, and sum and maximum after a graph layer and a linear one; the head is not run."""
+    nodes = graphs.order_nodes(_read(spark, d, "lineitem")).withColumn("x", F.array(F.col("q"), 10 * F.col("d")))
+    edges = graphs.path_ends(nodes)
+
+    def conv(x):
+        found = message.mpnn_plus(x, edges, 2, gather_from="senders", scatter_to="receivers", node_model=lambda v: F.zip_with(F.slice(v, 1, 2), F.slice(v, 3, 2), lambda a, b: a + b))
+        return found.select("graph_id", "node_id", F.col("h").alias("x"))
+
+    def head(x):
+        raise RuntimeError("no readout asks for this stage")
+
+    stages = [("input", lambda x: x.select("graph_id", "node_id", "x")), ("conv", conv), ("linear", lambda x: x.select("graph_id", "node_id", nn.linear(F.col("x"), [[0.1, -1.0]], None, "relu").alias("x"))), ("head", head)]
+    out = encoders.fingerprints(nodes, stages, {"input": ("mean",), "linear": ("sum", "max")}, {"input": 2, "linear": 1})
+    return out.select("graph_id", *[F.round(F.get("fingerprint", F.lit(k)), 4).alias(f"f{k}") for k in range(4)])
