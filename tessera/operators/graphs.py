@@ -40,10 +40,23 @@ def gather(edges: DataFrame, nodes: DataFrame, end: str, columns: dict[str, str]
     return edges.join(side, ["graph_id", end])
 
 
+def sent(edges: DataFrame, nodes: DataFrame, value: str, both: bool = False) -> DataFrame:
+    """edges with the value of their sender as xs and, if asked for, of their receiver as xd: taken from columns <value>_src and
+    <value>_dst where the edges carry them, else by joins."""
+    for end, name in (("src", "xs"), ("dst", "xd"))[: 2 if both else 1]:
+        edges = edges.withColumn(name, F.col(f"{value}_{end}")) if f"{value}_{end}" in edges.columns else gather(edges, nodes, end, {value: name})
+    return edges
+
+
 def scatter(edges: DataFrame, nodes: DataFrame, end: str, **aggregates: Column) -> DataFrame:
-    """nodes with aggregates of the edges that end (or begin) there; null where there is none."""
-    summed = edges.groupBy("graph_id", F.col(end).alias("node_id")).agg(*[v.alias(k) for k, v in aggregates.items()])
-    return nodes.join(summed, ["graph_id", "node_id"], "left")
+    """nodes with aggregates of the edges that end (or begin) there; null where there is none. Aggregates ignore nulls, for nodes and edges
+    are one union and one aggregate, partial before its exchange; F.count("_edge") counts edges."""
+    own = [c for c in nodes.columns if c not in ("graph_id", "node_id")]
+    sent_ = edges.withColumn("_edge", F.lit(1)).drop("node_id").withColumnRenamed(end, "node_id")
+    here = nodes.select("graph_id", "node_id", *[F.col(c).alias(f"_n_{c}") for c in own], F.lit(1).alias("_own"))
+    rows = sent_.unionByName(here, allowMissingColumns=True)
+    kept = [F.first(f"_n_{c}", ignorenulls=True).alias(c) for c in own]
+    return rows.groupBy("graph_id", "node_id").agg(*kept, *[v.alias(k) for k, v in aggregates.items()], F.max("_own").alias("_own")).where("_own = 1").drop("_own")
 
 
 def in_graph_pairs(nodes: DataFrame, columns: dict[str, str], upper: bool = False, max_nodes: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graphs import gather, scatter
+from tessera.operators.graphs import gather, scatter, sent
 
 AGGREGATORS = ("sum", "mean", "min", "max", "var", "std")
 SCALERS = ("identity", "amplification", "attenuation", "linear", "inverse_linear")
@@ -24,47 +24,48 @@ def aggregator(name: str, x: Column) -> Column:
 
 def gcn(nodes: DataFrame, edges: DataFrame, value: str = "q", weight: float = 1.0) -> DataFrame:
     """Sum of the neighbours' weighted values, without normalisation or self loops; 0 for a node without neighbours."""
-    sent = gather(edges.select("graph_id", "src", "dst"), nodes, "src", {value: "x"})
-    return scatter(sent, nodes.select("graph_id", "node_id"), "dst", h=F.sum(F.lit(weight) * F.col("x"))).select("graph_id", "node_id", F.coalesce("h", F.lit(0.0)).alias("h"))
+    out = scatter(sent(edges, nodes, value).select("graph_id", "dst", "xs"), nodes.select("graph_id", "node_id"), "dst", h=F.sum(F.lit(weight) * F.col("xs")))
+    return out.select("graph_id", "node_id", F.coalesce("h", F.lit(0.0)).alias("h"))
 
 
 def gin(nodes: DataFrame, edges: DataFrame, value: str = "q", eps: float = 0.0) -> DataFrame:
-    out = gcn(nodes, edges, value).join(nodes.select("graph_id", "node_id", F.col(value).alias("x")), ["graph_id", "node_id"])
-    return out.select("graph_id", "node_id", ((1 + eps) * F.col("x") + F.col("h")).alias("h"))
+    out = scatter(sent(edges, nodes, value).select("graph_id", "dst", "xs"), nodes.select("graph_id", "node_id", F.col(value).alias("x")), "dst", h=F.sum("xs"))
+    return out.select("graph_id", "node_id", ((1 + eps) * F.col("x") + F.coalesce("h", F.lit(0.0))).alias("h"))
 
 
 def gine(nodes: DataFrame, edges: DataFrame, value: str = "q", edge_value: Column | None = None) -> DataFrame:
     """x_i + sum of relu(x_j + e_ij)."""
     e = F.lit(0.0) if edge_value is None else edge_value
-    sent = gather(edges.select("graph_id", "src", "dst", e.alias("e")), nodes, "src", {value: "x"})
-    out = scatter(sent, nodes.select("graph_id", "node_id", value), "dst", m=F.sum(F.greatest(F.col("x") + F.col("e"), F.lit(0.0))))
-    return out.select("graph_id", "node_id", (F.col(value) + F.coalesce("m", F.lit(0.0))).alias("h"))
+    up = sent(edges, nodes, value).select("graph_id", "dst", F.greatest(F.col("xs") + e, F.lit(0.0)).alias("m"))
+    out = scatter(up, nodes.select("graph_id", "node_id", F.col(value).alias("x")), "dst", m=F.sum("m"))
+    return out.select("graph_id", "node_id", (F.col("x") + F.coalesce("m", F.lit(0.0))).alias("h"))
 
 
 def gated(nodes: DataFrame, edges: DataFrame, value: str = "q", a: float = 1.0, b: float = 1.0, c: float = 1.0, d: float = 0.02, e: float = 0.03, eps: float = 1e-5) -> DataFrame:
     """A x_i + sum(sigmoid(D x_i + E x_j + C e_ij) B x_j) / (sum(sigmoid) + eps)."""
-    sent = gather(gather(edges.select("graph_id", "src", "dst", F.col("same_flag").cast("double").alias("e")), nodes, "src", {value: "xj"}), nodes, "dst", {value: "xi"})
-    gate = 1 / (1 + F.exp(-(d * F.col("xi") + e * F.col("xj") + c * F.col("e"))))
-    out = scatter(sent.withColumn("s", gate), nodes.select("graph_id", "node_id", value), "dst", up=F.sum(F.col("s") * b * F.col("xj")), down=F.sum("s"))
-    return out.select("graph_id", "node_id", (a * F.col(value) + F.coalesce(F.col("up") / (F.col("down") + eps), F.lit(0.0))).alias("h"))
+    gate = 1 / (1 + F.exp(-(d * F.col("xd") + e * F.col("xs") + c * F.col("same_flag").cast("double"))))
+    up = sent(edges, nodes, value, both=True).select("graph_id", "dst", "xs", gate.alias("s"))
+    out = scatter(up, nodes.select("graph_id", "node_id", F.col(value).alias("x")), "dst", up=F.sum(F.col("s") * b * F.col("xs")), down=F.sum("s"))
+    return out.select("graph_id", "node_id", (a * F.col("x") + F.coalesce(F.col("up") / (F.col("down") + eps), F.lit(0.0))).alias("h"))
 
 
 def pna(nodes: DataFrame, edges: DataFrame, value: str = "q", aggregators=AGGREGATORS, scalers=("identity",), avg_log: float = 1.0, avg_deg: float = 1.0) -> DataFrame:
     """Every aggregator times every scaler (scalers outside) in one pass; degrees count as 1 at least; 0 without neighbours
     (std: the root of 1e-5)."""
-    sent = gather(edges.select("graph_id", "src", "dst"), nodes, "src", {value: "x"})
-    out = scatter(sent, nodes.select("graph_id", "node_id"), "dst", deg=F.count("*"), **{n: aggregator(n, F.col("x")) for n in aggregators})
-    deg = F.greatest(F.coalesce("deg", F.lit(0)), F.lit(1)).cast("double")
+    up = sent(edges, nodes, value).select("graph_id", "dst", "xs")
+    out = scatter(up, nodes.select("graph_id", "node_id"), "dst", deg=F.count("_edge"), **{n: aggregator(n, F.col("xs")) for n in aggregators})
+    deg = F.greatest(F.col("deg"), F.lit(1)).cast("double")
     scale = {"identity": F.lit(1.0), "amplification": F.log(deg + 1) / avg_log, "attenuation": avg_log / F.log(deg + 1), "linear": deg / avg_deg, "inverse_linear": avg_deg / deg}
     empty = lambda n: F.lit(0.0031622776601683794 if n == "std" else 0.0)
     return out.select("graph_id", "node_id", *[(F.coalesce(n, empty(n)) * scale[s]).alias(n if s == "identity" else f"{n}_{s}") for s in scalers for n in aggregators])
 
 
 def mpnn(nodes: DataFrame, edges: DataFrame, value: str = "q") -> DataFrame:
-    """Edge message |x_src - x_dst| + x_src, summed at receivers and at senders; both are returned."""
-    sent = gather(gather(edges.select("graph_id", "src", "dst"), nodes, "src", {value: "xs"}), nodes, "dst", {value: "xd"}).withColumn("m", F.abs(F.col("xs") - F.col("xd")) + F.col("xs"))
-    out = scatter(sent, nodes.select("graph_id", "node_id"), "dst", at_receiver=F.sum("m"))
-    out = scatter(sent, out, "src", at_sender=F.sum("m"))
+    """Edge message |x_src - x_dst| + x_src, summed at receivers and at senders; both are returned, from one aggregate."""
+    m = F.abs(F.col("xs") - F.col("xd")) + F.col("xs")
+    ends = F.explode(F.array(F.struct(F.col("dst").alias("at"), m.alias("r"), F.lit(None).cast("double").alias("s")), F.struct(F.col("src").alias("at"), F.lit(None).cast("double").alias("r"), m.alias("s"))))
+    up = sent(edges, nodes, value, both=True).select("graph_id", ends.alias("x")).select("graph_id", "x.*")
+    out = scatter(up, nodes.select("graph_id", "node_id"), "at", at_receiver=F.sum("r"), at_sender=F.sum("s"))
     return out.select("graph_id", "node_id", F.coalesce("at_receiver", F.lit(0.0)).alias("at_receiver"), F.coalesce("at_sender", F.lit(0.0)).alias("at_sender"))
 
 
@@ -107,10 +108,10 @@ def mpnn_plus(
         if edge_model or edge_feature:
             raise ValueError("edge_width says how many numbers a message has")
         edge_width = width * (2 if gather_from == "both" and gather_how == "concat" else 1)
-    sent = edges.select("graph_id", "src", "dst", (edge_model(message) if edge_model else message).alias("m"))
+    up = edges.select("graph_id", "src", "dst", (edge_model(message) if edge_model else message).alias("m"))
     sides = BOTH[scatter_to]
     ends = F.explode(F.array(*[F.struct(F.lit(s == "src").alias("back"), F.col(s).alias("node_id")) for s in sides]))
-    dealt = sent.select("graph_id", "m", ends.alias("to")).select("graph_id", "to.node_id", "to.back", *[F.get("m", F.lit(k)).alias(f"m{k}") for k in range(edge_width)])
+    dealt = up.select("graph_id", "m", ends.alias("to")).select("graph_id", "to.node_id", "to.back", *[F.get("m", F.lit(k)).alias(f"m{k}") for k in range(edge_width)])
     cells = {(s, a, k): aggregator(a, F.when(F.col("back") == F.lit(s == "src"), F.col(f"m{k}"))) for s in sides for a in aggregators for k in range(edge_width)}
     found = dealt.groupBy("graph_id", "node_id").agg(*[c.alias(f"{s}_{a}_{k}") for (s, a, k), c in cells.items()])
     joined = nodes.select("graph_id", "node_id", F.col(feature).alias("x")).join(found, ["graph_id", "node_id"], "left")

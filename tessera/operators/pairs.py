@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import encodings
-from tessera.operators.graphs import gather, in_graph_pairs, transfer
+from tessera.operators.graphs import gather, in_graph_pairs, sent, transfer
 
 
 def node_to_edge(nodes: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     """x_src + x_dst and |x_src - x_dst| of each edge."""
     transfer("node", "edge")
-    both = gather(gather(edges.select("graph_id", "src", "dst"), nodes, "src", {value: "a"}), nodes, "dst", {value: "b"})
-    return both.select("graph_id", "src", "dst", (F.col("a") + F.col("b")).alias("total"), F.abs(F.col("a") - F.col("b")).alias("apart"))
+    both = sent(edges, nodes, value, both=True)
+    return both.select("graph_id", "src", "dst", (F.col("xs") + F.col("xd")).alias("total"), F.abs(F.col("xs") - F.col("xd")).alias("apart"))
 
 
 def node_to_nodepair(nodes: DataFrame, value: str, upper: bool = False) -> DataFrame:
