@@ -107,6 +107,55 @@ def auroc(rows: DataFrame, *keys: str) -> DataFrame:
     return s.groupBy(*keys).agg((wins / F.nullif(F.max("pos_all") * (F.max("all") - F.max("pos_all")), F.lit(0.0))).alias("auroc"))
 
 
+def weighted_auroc(rows: DataFrame, *keys: str, max_fpr: float = 1.0) -> DataFrame:
+    """Area under the ROC curve of (pred, target, weight), up to the false positive rate `max_fpr`: there the curve is cut on its straight
+    line, and the area scaled so that chance is 0.5 and perfection 1. Null without positive or negative weight. Scores are summed before
+    windows see them; rows with a null weight or target are left out."""
+    if not 0 < max_fpr <= 1:
+        raise ValueError("max_fpr lies in (0, 1]")
+    own = rows.where("weight is not null and target is not null")
+    level = own.groupBy(*keys, "pred").agg(F.sum(F.col("weight") * F.col("target")).alias("p"), F.sum(F.col("weight") * (1 - F.col("target"))).alias("q"))
+    down, every = Window.partitionBy(*keys).orderBy(F.desc("pred")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
+    share = lambda c: F.try_divide(F.sum(c).over(down), F.sum(c).over(every))
+    step = lambda c: F.try_divide(F.col(c), F.sum(c).over(every))
+    s = level.select(*keys, share("p").alias("tpr"), share("q").alias("fpr"), step("p").alias("up"), step("q").alias("along"))
+    before, low = F.col("fpr") - F.col("along"), F.col("tpr") - F.col("up")
+    part = F.when(F.col("along") > 0, F.least(F.greatest(F.lit(max_fpr) - before, F.lit(0.0)) / F.col("along"), F.lit(1.0))).otherwise(F.lit(0.0))
+    area = F.sum(part * F.col("along") * (low + part * F.col("up") / 2)).alias("area")
+    out = s.groupBy(*keys).agg(area, F.count_if(F.col("tpr").isNull() | F.col("fpr").isNull()).alias("none"))
+    least = max_fpr * max_fpr / 2
+    scaled = F.col("area") if max_fpr == 1 else 0.5 * (1 + (F.col("area") - least) / (max_fpr - least))
+    return out.select(*keys, F.when(F.col("none") == 0, scaled).alias("auroc"))
+
+
+def sample_averages(rows: DataFrame, sample: str, at: float = 0.5, beta: float = 1.0) -> DataFrame:
+    """One row: precision, recall, fbeta, accuracy and specificity of each sample over its labels (pred, target), averaged over samples. Rows
+    without a target are left out, so a sample without any does not count."""
+    hit = rows.where("target is not null and pred is not null").select(sample, (F.col("pred") > at).alias("h"), (F.col("target") > 0).alias("t"))
+    counted = hit.groupBy(sample).agg(*[F.count_if(c).alias(n) for n, c in (("tp", F.col("h") & F.col("t")), ("fp", F.col("h") & ~F.col("t")), ("tn", ~F.col("h") & ~F.col("t")), ("fn", ~F.col("h") & F.col("t")))])
+    return classification(counted, beta).agg(*[F.avg(c).alias(c) for c in ("accuracy", "precision", "recall", "specificity", "fbeta")])
+
+
+def multidim_averages(rows: DataFrame, sample: str, how: str, average: str = "macro", beta: float = 1.0) -> DataFrame:
+    """Multi-class metrics where a sample has several (scores, target) rows: `global` counts all rows together, `samplewise` averages each
+    sample's rows by `average` and then the samples."""
+    if how == "global":
+        return averaged(class_counts(rows), average, beta)
+    if how != "samplewise" or average not in ("micro", "macro"):
+        raise ValueError(f"how is global, or samplewise with micro or macro, not {how!r} with {average!r}")
+    best = F.array_min(F.transform("scores", lambda x, i: F.struct((-x).alias("x"), i.alias("i"))))["i"]
+    own = rows.where("target is not null").select(sample, F.col("target").cast("int").alias("t"), best.alias("b"))
+    parts = F.array(F.struct(F.col("t").alias("class"), F.lit(1).alias("support"), (F.col("t") == F.col("b")).cast("int").alias("tp"), F.lit(0).alias("chosen")), F.struct(F.col("b").alias("class"), F.lit(0).alias("support"), F.lit(0).alias("tp"), F.lit(1).alias("chosen")))
+    summed = own.select(sample, F.explode(parts).alias("x")).groupBy(sample, "x.class").agg(*[F.sum(f"x.{c}").alias(c) for c in ("support", "tp", "chosen")])
+    n = F.sum("support").over(Window.partitionBy(sample))
+    counted = summed.select(sample, "tp", (F.col("chosen") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"), (n - F.col("support") - F.col("chosen") + F.col("tp")).alias("tn"))
+    if average == "micro":
+        counted = counted.groupBy(sample).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
+    names = ["accuracy", "precision", "recall", "specificity", "fbeta"]
+    per = classification(counted, beta).groupBy(sample).agg(*[F.avg(c).alias(c) for c in names])
+    return per.agg(*[F.avg(c).alias(c) for c in names])
+
+
 def average_precision(rows: DataFrame, *keys: str) -> DataFrame:
     return by_score(rows, *keys).groupBy(*keys).agg((F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.nullif(F.max("pos_all"), F.lit(0.0))).alias("ap"))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import message, nn, pooling
+from tessera.operators import attention, message, nn, pooling
 from tessera.operators.splits import seeded
 
 Layer = tuple[list[list[float]], list[float] | None, str]
@@ -82,6 +82,47 @@ def _blocks(x: Column, blocks: int, width: int, layer: list[Layer]) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: mlp(F.slice(x, k * width + 1, F.lit(width)), layer)))
 
 
+def pool_outputs(outputs: list[DataFrame], width: int, how: str = "sum", existing: DataFrame | None = None, column: str = "x", keys: tuple[str, ...] = ("graph_id", "node_id")) -> DataFrame:
+    """keys and h: the arrays of several encoders that share an output, pooled entry by entry (sum, mean, max, min) over the encoders that have
+    the key, after the feature that is there already (a key that only one side has gets zeros for the other). One union and one
+    aggregate, whatever the number of encoders."""
+    if how not in ("sum", "mean", "max", "min"):
+        raise ValueError(f"outputs are pooled by sum, mean, max or min, not {how!r}")
+    flat = lambda df: [*keys, *[F.get(column, F.lit(k)).alias(f"_{k}") for k in range(width)]]
+    rows = None
+    for df in outputs:
+        own = df.select(*flat(df))
+        rows = own if rows is None else rows.union(own)
+    if rows is None:
+        raise ValueError("there is nothing to pool")
+    pooled = rows.groupBy(*keys).agg(*[message.aggregator(how, F.col(f"_{k}")).alias(f"_{k}") for k in range(width)]).select(*keys, F.array(*[F.col(f"_{k}") for k in range(width)]).alias("h"))
+    if existing is None:
+        return pooled
+    known = existing.select(*keys, F.col(column).alias("_x"))
+    size = F.coalesce(F.size("_x"), F.lit(existing.select(F.max(F.size(column))).first()[0] or 0))
+    both = known.join(pooled, list(keys), "full")
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    return both.select(*keys, F.concat(F.coalesce("_x", zeros(size)), F.coalesce("h", zeros(F.lit(width)))).alias("h"))
+
+
+def gps(nodes: DataFrame, edges: DataFrame, width: int, heads: int, weights: dict[str, list[list[float]]], feed_forward: list[Layer], scale: float | None = None, tile: int = 256) -> DataFrame:
+    """A row a node: graph_id, node_id, h of a local-global block: the sum of the neighbours' vectors, plus attention over the whole graph
+    with the input added to it, and then a feed-forward part added to their sum.
+
+    nodes: graph_id, node_id, x (array of `width`), masked (optional: not attended to); edges: graph_id, src, dst, x_src, x_dst.
+    weights: q, k, v and o, square matrices of `width`; heads must divide it.
+    """
+    if width % heads:
+        raise ValueError("heads divide the width")
+    local = message.mpnn_plus(nodes, edges, width, gather_from="senders", scatter_to="receivers").withColumnRenamed("h", "local")
+    asked = nodes.select("graph_id", "node_id", *[nn.linear(F.col("x"), weights[c]).alias(c) for c in "qkv"], (F.col("masked") if "masked" in nodes.columns else F.lit(False)).alias("masked"))
+    seen = attention.attend(asked, heads, width // heads, width // heads, scale=scale, tile=tile).select("graph_id", "node_id", F.coalesce("h", F.array_repeat(F.lit(0.0), width)).alias("seen"))
+    both = nodes.select("graph_id", "node_id", "x").join(local, ["graph_id", "node_id"]).join(seen, ["graph_id", "node_id"])
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    h = both.select("graph_id", "node_id", add("local", add("x", nn.linear(F.col("seen"), weights["o"]))).alias("h"))
+    return h.select("graph_id", "node_id", add("h", mlp(F.col("h"), feed_forward)).alias("h"))
+
+
 Stage = Callable[[DataFrame], DataFrame]
 
 

@@ -83,6 +83,28 @@ def balance_weights(rows: DataFrame, label: str) -> DataFrame:
     return out.withColumn("weight", F.when((F.col("_p") > 0) & (F.col("_p") < 1), weight)).drop("_p")
 
 
+def balance_weights_all(rows: DataFrame, names: list[str]) -> DataFrame:
+    """weight: for each label p where it is 0 and 1/p where it is 1 (p: its share of ones), multiplied over all labels and divided by the
+    largest such product. A missing label, and one whose values are all alike, counts as 1. Other values than 0, 1 and null are
+    an error. Two aggregates of one row each; the rows themselves are not shuffled."""
+    odd = [F.when(F.col(c).isNotNull() & ~F.col(c).isin(0, 1), F.raise_error(F.lit(f"label {c} is not binary")).cast("double")).otherwise(F.col(c).cast("double")) for c in names]
+    shares = rows.agg(*[F.avg(x).alias(f"_p{k}") for k, x in enumerate(odd)])
+    out = rows.crossJoin(F.broadcast(shares))  # one row
+    product = F.lit(1.0)
+    for k, c in enumerate(names):
+        p = F.col(f"_p{k}")
+        product = product * F.when(F.col(c).isNull() | p.isNull() | (p <= 0) | (p >= 1), F.lit(1.0)).when(F.col(c) == 1, 1 / F.when(p > 0, p)).otherwise(p)
+    out = out.withColumn("_raw", product)
+    return out.crossJoin(F.broadcast(out.agg(F.max("_raw").alias("_top")))).withColumn("weight", F.col("_raw") / F.col("_top")).drop("_raw", "_top", *[f"_p{k}" for k in range(len(names))])
+
+
+def drop_rare(rows: DataFrame, names: list[str], least: int) -> tuple[DataFrame, list[str]]:
+    """rows without the label columns (of names) that have fewer than `least` positive values, and which went; one aggregate counts all."""
+    found = rows.agg(*[F.count_if(F.col(c) > 0).alias(f"_{k}") for k, c in enumerate(names)]).first()
+    gone = [c for k, c in enumerate(names) if found[k] < least]
+    return rows.drop(*gone), gone
+
+
 def bucket(x: Column, cuts: list[float]) -> Column:
     """How many cuts x lies above (a value on a cut lies below it)."""
     out = F.lit(0)

@@ -302,3 +302,9 @@ def largest_pack(spark, d):
     """Four shuffles of all orders in combined batches of 256, each packed into 16 packs."""
     sizes = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     return packed.estimate_largest(sizes, "l_orderkey", "n", 16, 256, 4, 5)
+
+
+@query("""WITH p AS (SELECT avg(quality) AS a, avg(toxic) AS b FROM labels), w AS (SELECT doc_id, CASE quality WHEN 1 THEN 1 / a WHEN 0 THEN a ELSE 1 END * CASE toxic WHEN 1 THEN 1 / b WHEN 0 THEN b ELSE 1 END AS w FROM labels, p) SELECT doc_id, round(w / (SELECT max(w) FROM w), 6) AS weight FROM w""")
+def class_weights_product(spark, d):
+    """Weights of rows by both labels together."""
+    return labels.balance_weights_all(_read(spark, d, "labels"), ["quality", "toxic"]).select("doc_id", F.round("weight", 6).alias("weight"))

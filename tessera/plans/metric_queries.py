@@ -197,3 +197,23 @@ def multiclass_averages(spark, d):
     counted = _classes(spark, d)
     parts = [metrics.averaged(counted, a).select(F.lit(a).alias("average"), *_NAMES) for a in ("macro", "weighted", "micro")]
     return _r(parts[0].unionByName(parts[1]).unionByName(parts[2]), 6, *_NAMES)
+
+
+_ROC = f"""{PREDS}, w AS (SELECT task, pred, sum((1 + row_id % 3) * target) AS p, sum((1 + row_id % 3) * (1 - target)) AS q FROM ok GROUP BY ALL),
+    s AS (SELECT task, p / sum(p) OVER (PARTITION BY task) AS up, q / sum(q) OVER (PARTITION BY task) AS along, sum(p) OVER d / sum(p) OVER (PARTITION BY task) AS tpr, sum(q) OVER d / sum(q) OVER (PARTITION BY task) AS fpr FROM w WINDOW d AS (PARTITION BY task ORDER BY pred DESC ROWS UNBOUNDED PRECEDING)),
+    c AS (SELECT task, up, along, tpr, fpr, CASE WHEN along > 0 THEN least(greatest(0.3 - (fpr - along), 0.0) / along, 1.0) ELSE 0.0 END AS part FROM s)"""
+
+
+@query(f"WITH {_ROC} SELECT task, round(sum(along * (tpr - up + up / 2)), 6) AS whole, round(0.5 * (1 + (sum(part * along * (tpr - up + part * up / 2)) - 0.045) / 0.255), 6) AS partial FROM c GROUP BY task")
+def auroc_weighted_partial(spark, d):
+    """Weighted area under the ROC curve, whole and up to a false positive rate of 0.3."""
+    rows = predictions(spark, d).withColumn("weight", (1 + F.col("row_id") % 3).cast("double"))
+    whole, part = metrics.weighted_auroc(rows, "task"), metrics.weighted_auroc(rows, "task", max_fpr=0.3)
+    return _r(whole.withColumnRenamed("auroc", "whole").join(part.withColumnRenamed("auroc", "partial"), "task"))
+
+
+@query(f"""WITH {PREDS}, c AS (SELECT row_id, CAST(count(*) FILTER (pred > 0.5 AND target > 0) AS DOUBLE) AS tp, count(*) FILTER (pred > 0.5 AND NOT target > 0) AS fp, count(*) FILTER (NOT pred > 0.5 AND NOT target > 0) AS tn, count(*) FILTER (NOT pred > 0.5 AND target > 0) AS fn FROM ok GROUP BY row_id)
+    SELECT round(avg((tp + tn) / (tp + tn + fp + fn)), 6) AS accuracy, round(avg(coalesce(tp / nullif(tp + fp, 0), 0)), 6) AS precision, round(avg(coalesce(tp / nullif(tp + fn, 0), 0)), 6) AS recall, round(avg(coalesce(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 0)), 6) AS specificity, round(avg(coalesce(2 * tp / nullif(2 * tp + fn + fp, 0), 0)), 6) AS fbeta FROM c""")
+def sample_averages(spark, d):
+    """Metrics of each document over its two labels, averaged over documents."""
+    return _r(metrics.sample_averages(predictions(spark, d), "row_id"))

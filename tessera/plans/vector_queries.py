@@ -175,3 +175,30 @@ def fingerprint_stages(spark, d):
     stages = [("input", lambda x: x.select("graph_id", "node_id", "x")), ("conv", conv), ("linear", lambda x: x.select("graph_id", "node_id", nn.linear(F.col("x"), [[0.1, -1.0]], None, "relu").alias("x"))), ("head", head)]
     out = encoders.fingerprints(nodes, stages, {"input": ("mean",), "linear": ("sum", "max")}, {"input": 2, "linear": 1})
     return out.select("graph_id", *[F.round(F.get("fingerprint", F.lit(k)), 4).alias(f"f{k}") for k in range(4)])
+
+
+@query(f"""WITH {EDGES}, a AS (SELECT graph_id, node_id, q AS x0, d AS x1 FROM nodes UNION ALL SELECT graph_id, dst, q_src, d_src FROM edges), b AS (SELECT graph_id, node_id, avg(x0) AS y0, avg(x1) AS y1 FROM a GROUP BY ALL)
+    SELECT graph_id, CAST(node_id AS INTEGER) AS node_id, round(t, 4) AS h0, round(y0, 4) AS h1, round(y1, 5) AS h2 FROM nodes JOIN b USING (graph_id, node_id)""")
+def encoder_outputs_pooled(spark, d):
+    """Two encoders under one key (a node's own vector, each neighbour's vector), averaged, after the feature that was there."""
+    nodes, edges = _vectors(spark, d)
+    near = edges.select("graph_id", F.col("dst").alias("node_id"), F.col("x_src").alias("x"))
+    out = encoders.pool_outputs([nodes.select("graph_id", "node_id", "x"), near], 2, "mean", nodes.select("graph_id", "node_id", F.array("t").alias("x")))
+    return out.select("graph_id", "node_id", F.round(F.get("h", F.lit(0)), 4).alias("h0"), F.round(F.get("h", F.lit(1)), 4).alias("h1"), F.round(F.get("h", F.lit(2)), 5).alias("h2"))
+
+
+_HEADS = {"q": [[1.0, 0.5], [0.0, 1.0]], "k": [[0.5, 0.0], [1.0, 1.0]], "v": [[1.0, 0.0], [0.5, 1.0]], "o": [[1.0, -0.5], [0.25, 1.0]]}
+_FFN = [([[0.3, -0.2], [0.1, 0.4]], [0.05, -0.1], "relu"), ([[1.0, 0.5], [-0.5, 1.0]], None, "none")]
+
+
+@query(f"""WITH {_PATH}, x AS (SELECT graph_id, node_id, q / 50 AS x0, 10 * d AS x1 FROM nodes), l AS (SELECT graph_id, dst AS node_id, sum(q_src / 50) AS l0, sum(10 * d_src) AS l1 FROM ends GROUP BY ALL),
+    s AS (SELECT a.graph_id, a.node_id, (a.x0 + 0.5 * a.x1) * 0.5 * b.x0 AS s0, a.x1 * (b.x0 + b.x1) AS s1, b.x0 AS v0, 0.5 * b.x0 + b.x1 AS v1 FROM x a JOIN x b ON a.graph_id = b.graph_id),
+    e AS (SELECT graph_id, node_id, v0, v1, exp(s0 - max(s0) OVER w) AS e0, exp(s1 - max(s1) OVER w) AS e1 FROM s WINDOW w AS (PARTITION BY graph_id, node_id)), g AS (SELECT graph_id, node_id, sum(e0 * v0) / sum(e0) AS g0, sum(e1 * v1) / sum(e1) AS g1 FROM e GROUP BY ALL),
+    h AS (SELECT x.graph_id, x.node_id, coalesce(l0, 0.0) + x0 + g0 - 0.5 * g1 AS h0, coalesce(l1, 0.0) + x1 + 0.25 * g0 + g1 AS h1 FROM x JOIN g USING (graph_id, node_id) LEFT JOIN l USING (graph_id, node_id)),
+    f AS (SELECT graph_id, node_id, h0, h1, greatest(0.3 * h0 - 0.2 * h1 + 0.05, 0.0) AS f0, greatest(0.1 * h0 + 0.4 * h1 - 0.1, 0.0) AS f1 FROM h)
+    SELECT graph_id, CAST(node_id AS INTEGER) AS node_id, round(h0 + f0 + 0.5 * f1, 5) AS h0, round(h1 - 0.5 * f0 + f1, 5) AS h1 FROM f""")
+def local_global_block(spark, d):
+    """Neighbour sums, two attention heads over each graph, a feed-forward part, each added to what it starts from."""
+    nodes = graphs.order_nodes(_read(spark, d, "lineitem")).withColumn("x", F.array(F.col("q") / 50, 10 * F.col("d")))
+    out = encoders.gps(nodes.select("graph_id", "node_id", "x"), graphs.path_ends(nodes), 2, 2, _HEADS, _FFN)
+    return out.select("graph_id", F.col("node_id").cast("int").alias("node_id"), F.round(F.get("h", F.lit(0)), 5).alias("h0"), F.round(F.get("h", F.lit(1)), 5).alias("h1"))

@@ -106,6 +106,24 @@ def cached(spark: SparkSession, folder: str, config: dict, build, partition_by:
     return spark.read.parquet(path)
 
 
+def keep_results(metrics: DataFrame, folder: str, run: dict) -> str:
+    """Writes a run's metrics as one Parquet table named by the hash of its config, with the config in a column, and gives its name. A run
+    that is kept again takes the place of the old one; readers see a run once it is whole (_SUCCESS)."""
+    name = config_hash(run)
+    metrics.withColumns({"run": F.lit(name), "config": F.lit(json.dumps(run, sort_keys=True, default=str))}).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/run={name}")
+    return name
+
+
+def kept_results(spark: SparkSession, folder: str) -> DataFrame:
+    """The metrics of all runs under a folder that are whole."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/run=*/_SUCCESS")
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place) or []
+    paths = sorted(str(f.getPath().getParent()) for f in found)
+    if not paths:
+        raise ValueError(f"no results under {folder}")
+    return spark.read.option("mergeSchema", "true").parquet(*paths)
+
+
 def fake(spark: SparkSession, rows: int, labels: list[str], smiles: str = "C1=CC=CC=C1", seed: int = 0) -> DataFrame:
     """One molecule with random labels, `rows` times."""
     return spark.range(rows).select(F.lit(smiles).alias("SMILES"), *[F.rand(seed + k).alias(c) for k, c in enumerate(labels)])
