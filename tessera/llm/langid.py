@@ -26,10 +26,14 @@ FAMILIES = {
 }
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
 BUCKETS = 1 << 13
-_LETTER = re.compile(r"[^\W\d_]")
 _NOT_TEXT = re.compile(r"[^\w\s'-]+|\d+")
 
 
+def has_letter(text: str) -> bool:
+    """Whether some character is alphabetic; digits, fractions, raised and Roman numerals are not."""
+    return any(map(str.isalpha, text))
+
+
 def family_of(lang: str) -> str:
     return _FAMILY.get(lang.lower().split("-")[0].split("_")[0], lang)
 
@@ -135,7 +139,7 @@ def training_rows(docs: DataFrame, learnable, per_lang: int, most_langs: int, id
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [k for k, t in enumerate(batch.column(1).to_pylist()) if _LETTER.search(t)]
+            keep = [k for k, t in enumerate(batch.column(1).to_pylist()) if has_letter(t)]
             sparse = [frequencies(batch.column(1)[k].as_py()) for k in keep]
             at = [np.flatnonzero(v).astype(np.int16) for v in sparse]
             yield pa.RecordBatch.from_arrays([
@@ -169,7 +173,7 @@ def identify(docs: DataFrame, learnable=None, per_lang: int = 400, most_langs: i
             langs, scores = [], []
             for text in batch.column(1):
                 text = text.as_py()
-                if not text or not _LETTER.search(text):
+                if not text or not has_letter(text):
                     langs.append("und")
                     scores.append(1.0)
                 elif model is None:
