@@ -140,6 +140,9 @@ class Index:
         window can reach the threshold. places and tokens: where the text has shingles that some item has. What a window
         shares with the item weighs `threshold` times the item at least if it is that similar."""
         length, own, counts, weights = self.items[item]
+        if length < K:  # one shingle, of its own length: such windows hold nothing of it or all
+            found = [p for p in sorted(starts) if p + length <= len(hashes)]
+            return max(((self.similarity(hashes[p : p + length], item), -p) for p in found), default=None)
         mine = np.isin(tokens, own)
         if not mine.any():
             return None
@@ -170,7 +173,7 @@ def _matches(batches: Iterator[pa.RecordBatch], index: Index, threshold: float,
                     own = shingles(h, K)
                     at = np.minimum(np.searchsorted(index.known, own), len(index.known) - 1)
                     places = np.flatnonzero(index.known[at] == own)
-                    for item, starts in sorted(items.items()) if len(places) else ():
+                    for item, starts in sorted(items.items()):
                         best = index.best(h, places, own[places], starts, item, threshold)
                         if best and best[0] >= threshold - 1e-9:
                             rows.append((ids[turn[text][0]], item, -best[1], index.items[item][0], best[0]))
@@ -200,7 +203,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = 11, thresh
     least; a shingle weighs less the more items have it).
 
     Texts are compared lower-cased (A-Z), whole, as words of non-space characters. Null and empty texts and items without a
-    word match nothing; items of fewer than five words are one shingle. Repeated document rows give their rows each; of items
+    word match nothing. Items of fewer than five words are one shingle and are looked for at their own length, so every text that
+    has their words in a row matches with similarity 1. Columns of other names are not read, whatever they are called. Repeated document rows give their rows each; of items
     with one id every text is looked for, and each that is found gives a row (equal texts of an id are one). Items are broadcast `items_a_pass` at a time and documents read once for
     each pass, so memory is bounded for any benchmark. No shuffle of documents. An empty table gives an empty one.
     """
