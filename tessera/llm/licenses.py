@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -48,8 +49,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.",),
 }
-_CUE = re.compile(r"licen[cs]e|copyright|permission|redistribut|all rights reserved|public domain|\bCC[ -](?:BY|0)|free software", re.IGNORECASE)
-_WORD = re.compile(r"\S+")
 _TOKEN = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -58,17 +57,46 @@ def tokens(text: str) -> list[str]:
     return [w.lower() for w in _TOKEN.findall(text)]
 
 
-def blocks(text: str, around: int = 60, gap: int = 25) -> list[tuple[int, int]]:
-    """Candidate spans: `around` words to each side of every cue at most, across line ends, spans less than `gap` characters
-    apart joined. Only texts with a cue are looked at; they are looked at whole."""
+class Cues:
+    """Words by which texts that may hold a notice are found. Of a template in which t words may differ, t + 1 different words are cues:
+    t edits leave one of them, so no notice within the tolerance is missed. The longest words are taken, which are the rarest."""
+
+    def __init__(self, templates: dict[str, tuple[str, ...]], tolerance: float):
+        self.words: set[str] = set()
+        longest, widest = 1, 1
+        for ts in templates.values():
+            for t in ts:
+                own = tokens(t)
+                self.words.update(sorted(set(own), key=lambda w: (-len(w), w))[: int(tolerance * len(own) + 1e-9) + 1])
+                longest, widest = max(longest, len(own)), max(widest, len(t))
+        self.around = max(60, int(longest * (1 + tolerance)) + 2)
+        self.chars = max(40 * self.around, 2 * widest)
+        self.found = ahocorasick.Automaton()
+        for w in self.words:
+            self.found.add_word(w, len(w))
+        if self.words:
+            self.found.make_automaton()
+
+    def places(self, text: str) -> list[tuple[int, int]]:
+        """Where cues start and end, in order. A text whose lower case has another length is lowered character by character, where that keeps it."""
+        low = text.lower()
+        if len(low) != len(text):
+            low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+        return sorted({(end + 1 - n, end + 1) for end, n in self.found.iter(low)}) if self.words else []
+
+
+def blocks(text: str, cues: Cues, gap: int = 25) -> list[tuple[int, int]]:
+    """Candidate spans: as many words to each side of every cue as the longest template can have, across line ends, spans less than `gap`
+    characters apart joined. Only texts with a cue are looked at; they are looked at whole."""
     spans: list[list[int]] = []
-    for m in _CUE.finditer(text):
-        # a word is taken to have at most 40 characters here, so that a line of a megabyte isn't split for each cue
-        inside = spans and m.start() < spans[-1][1]
-        left = [] if inside else [w.start() for w in _WORD.finditer(text, max(0, m.start() - 40 * around), m.start())]
-        right = [w.end() for w in _WORD.finditer(text, m.end(), min(len(text), m.end() + 40 * around))]
-        a = left[-around] if len(left) > around else left[0] if left else m.start()
-        b = right[around] if len(right) > around else right[-1] if right else m.end()
+    around = cues.around
+    for start, end in cues.places(text):
+        # so many characters at most, so that a line of a megabyte isn't split for each cue
+        inside = spans and start < spans[-1][1]
+        left = [] if inside else [w.start() for w in _TOKEN.finditer(text, max(0, start - cues.chars), start)]
+        right = [w.end() for w in _TOKEN.finditer(text, end, min(len(text), end + cues.chars))] if not inside or end + cues.chars > spans[-1][1] else []
+        a = left[-around] if len(left) > around else left[0] if left else start
+        b = right[around] if len(right) > around else right[-1] if right else end
         if spans and a - spans[-1][1] < gap:
             spans[-1][1] = max(b, spans[-1][1])
         else:
@@ -160,7 +188,8 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, l
 
     Each notice that is confirmed is taken out and the rest matched again, so a block with several gives a row for each. A
     template is confirmed where at most `tolerance` of its words differ; among the `top` templates by saving (and all that
-    tie with the last of them) the one with the least differences wins, then the longest. Null and empty texts and texts
+    tie with the last of them) the one with the least differences wins, then the longest. Texts are looked at around the
+    templates' own cue words (see Cues), so any templates work; a template without a word is never found. Null and empty texts and texts
     without a notice give no row; repeated rows give theirs each; empty tables give an empty one; other columns are not
     read. A map, no shuffle.
     """
@@ -168,12 +197,12 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, l
     schema = "id long, license string, start long, end long, reduction double, n_edits long, n_words long, exact boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, level, top, tolerance, least_reduction)
+        scanner, cues = Scanner(templates, level, top, tolerance, least_reduction), Cues(templates, tolerance)
         for batch in batches:
             rows = []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 if text:
-                    for a, b in blocks(text):
+                    for a, b in blocks(text, cues):
                         for m in scanner.match(text[a:b]):
                             rows.append((batch.column(0)[k].as_py(), m[0], a, b, m[2], m[3], m[4], m[3] == 0))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()))], names=["id", "license", "start", "end", "reduction", "n_edits", "n_words", "exact"])
