@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import drawn
+from tessera.llm.store import drawn, free_prefix
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -33,14 +33,14 @@ def measures() -> dict[str, Column]:
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_distinct_words,
-    n_adjacent_repeats and n_shouts (long), and __counted (true; see below). Null text: all 0. Columns of docs with these names are replaced.
+    n_adjacent_repeats and n_shouts (long). Null text: all 0. Columns of docs with these names are replaced.
 
     n_repeat_words: each window of five words is hashed; where a text has no two equal windows (most) that ends it. Else the
     windows are sorted by (hash, place), neighbours compared by hash, and the words that the repeated windows cover are counted
     from their sorted places: n log n in the words of a text, at any length, without a shuffle.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    tmp = "__q_"
+    tmp = free_prefix(docs) + "q_"
     c = lambda name: F.col(tmp + name)
 
     def repeated(x: Column, k: Column) -> Column:
@@ -65,9 +65,10 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_adjacent_repeats": F.size(F.filter(c("hashes"), lambda x, i: F.coalesce(F.get(c("hashes"), i - 1) == x, F.lit(False)))).cast("long"),
         "n_shouts": F.regexp_count(c("text"), F.lit("!")).cast("long"),
         # not deterministic, and so a fence: a filter on the verdict must not be pushed below, where it would repeat all of the above inside itself
-        "__counted": F.monotonically_increasing_id() >= 0,
+        tmp + "fence": F.monotonically_increasing_id() >= 0,
     })
-    return out.drop(*[tmp + x for x in ("text", "words", "lines", "hashes", "windows", "placed", "starts")])
+    out = out.withColumn("n_words", F.when(c("fence"), F.col("n_words")))
+    return out.drop(*[tmp + x for x in ("text", "words", "lines", "hashes", "windows", "placed", "starts", "fence")])
 
 
 def base_failed() -> Column:
@@ -197,4 +198,4 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     rules = fitted(docs, labels, id_col=id_col, text_col=text_col, **options)
     out = with_statistics(docs, text_col).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0) & F.col("__counted")).drop("__counted")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
