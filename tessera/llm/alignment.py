@@ -41,6 +41,40 @@ def spans_of(text: str) -> list[str]:
     return _CUT.split(text) if _PLAIN.search(text) else text.split(" ")
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the varint and bytes fields of a protocol buffer message; fixed-width fields are passed over."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        elif key & 7 == 2:
+            size = varint()
+            yield key >> 3, data[at : at + size]
+            at += size
+        else:
+            at += 8 if key & 7 == 1 else 4
+
+
+def changes_nothing(model: bytes) -> bool:
+    """Whether a sentencepiece model reads texts as they are, but for the space put in front: no character map, no white space removed.
+    Fixed values: the message's field 3 is the normalizer, whose fields 2 to 5 are map, prefix, removal and escaping."""
+    spec = next((dict(_fields(v)) for n, v in _fields(model) if n == 3), {})
+    return not spec.get(2) and bool(spec.get(3, 1)) and not spec.get(4, 1) and bool(spec.get(5, 1))
+
+
 class Pair:
     """Both tokenizers, with the bytes of each of their ids."""
 
@@ -50,6 +84,7 @@ class Pair:
         self.a = tokens_of(a_path)
         self.a.exact.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.as_it_is = changes_nothing(self.b.serialized_model_proto())
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -59,7 +94,7 @@ class Pair:
 
     def whole(self, text: str | None) -> bool:
         """Whether the text has tokens: neither null nor empty, and B gives back every byte of it."""
-        return bool(text) and SPACE not in text and self.b.normalize(text) == SPACE + text.replace(" ", SPACE)
+        return bool(text) and SPACE not in text and (self.as_it_is or self.b.normalize(text) == SPACE + text.replace(" ", SPACE))
 
     def encode_a(self, text: str) -> list[int]:
         try:

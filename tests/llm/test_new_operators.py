@@ -66,9 +66,11 @@ PIECES = ["The", "of", "internationalization", "don't", " ", "  ", "\n", " \n ",
 
 def test_spans_keep_the_tokens_of_both_tokenizers():
     own = alignment.pair_of(A, B)
+    assert own.as_it_is
     r = random.Random(4)
     for _ in range(600):
         text = "".join(r.choice(PIECES) + r.choice(["", " ", "  ", "\n"]) for _ in range(r.randint(1, 12)))
+        assert own.whole(text) == (bool(text) and own.b.normalize(text) == "▁" + text.replace(" ", "▁"))
         if not own.whole(text):
             continue
         spans = alignment.spans_of(text)
