@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.packing import tokens_of
@@ -30,6 +30,7 @@ _CUT = re.compile(r"(?<=\S) (?=.)", re.S)
 _PLAIN = re.compile(r"\s |^ | $")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 SPACE = "▁"
+_MARKS = str.maketrans("abc", ",|;")
 BLOCK = 64  # bytes; tokens of a group are joined by the blocks that they lie in
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
@@ -195,7 +196,7 @@ def links_between(groups: DataFrame) -> DataFrame:
 
 
 def aligned_spans(tokens: DataFrame, most_pairs: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """(spans, pairs): a row a span with its numbers, `groups` as text and its count n; a row an id pair with its count over the
+    """(spans, pairs): a row a span with its numbers, its groups (see packed) and its count n; a row an id pair with its count over the
     corpus and whether that is the highest of its B id. Pairs are broadcast where there are `most_pairs` at most (a bound
     for any two vocabularies that is checked), and joined by shuffles beyond."""
     ids = lambda s: F.array_join(F.transform(s, lambda t: t["id"].cast("string")), ",")
@@ -207,7 +208,7 @@ def aligned_spans(tokens: DataFrame, most_pairs: int = 1_000_000) -> tuple[DataF
     )
     spans = saved(rows.groupBy("cid").agg(
         F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.count("*").alias("n_groups"), F.flatten(F.collect_list("links")).alias("links"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "text"))), lambda x: x["text"]), ";").alias("groups"), F.collect_list("several").alias("several"),
+        packed(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "text"))), lambda x: x["text"]), ";")).alias("groups"), F.collect_list("several").alias("several"),
     ).join(tokens.select("cid", "span", "n"), "cid"), "aligned")
     wide = links_between(spans.where(F.size("several") > 0).select("cid", F.explode("several").alias("x")).select("cid", "x.*"))
     wide = saved(wide.groupBy("cid").agg(F.collect_list(F.struct("a", "b")).alias("more")), "wide-links")
@@ -222,6 +223,16 @@ def aligned_spans(tokens: DataFrame, most_pairs: int = 1_000_000) -> tuple[DataF
     return out, pairs
 
 
+def packed(groups: Column) -> Column:
+    """The text of groups in half its bytes: digits and the three marks between them are four bits each (a last d fills up a byte)."""
+    marks = F.translate(groups, ",|;", "abc")
+    return F.unhex(F.when(F.length(marks) % 2 == 1, F.concat(marks, F.lit("d"))).otherwise(marks))
+
+
+def unpacked(data: bytes) -> str:
+    return data.hex().rstrip("d").translate(_MARKS)
+
+
 def least_count(spans: DataFrame, most: int) -> int:
     """The smallest power of 1.05 from which on not more than `most` spans occur so often; a few hundred sums decide it."""
     step = F.floor(F.log(1.05, F.col("n").cast("double")) + 1e-9)
@@ -249,7 +260,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     spans, _ = aligned_spans(tokens)
     removed(tokens)
     top = spans.where((F.col("n") >= least_count(spans, frequent)) & (F.octet_length("span") <= 512)).drop("n").toPandas()
-    names, known_groups = top["span"].tolist(), top["groups"].tolist()
+    names, known_groups = top["span"].tolist(), [unpacked(bytes(x)) for x in top["groups"]]
     numbers = top[list(NUMBERS)].to_numpy(np.int64).reshape(-1, len(NUMBERS))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,9 +283,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     wanted = rows.select("th", "text").mapInArrow(rare, "th long, pos int, span string").repartition("span").dropDuplicates(["span", "th", "pos"])
-    # place and groups in one string, numbers already summed: what is exchanged are a few dozen bytes a rare span
+    # place (four bytes) and groups in one value, numbers already summed: what is exchanged are a few dozen bytes a rare span
     known = spans.select("span", *NUMBERS, "groups")
-    found = wanted.join(known, "span").groupBy("th").agg(*[F.sum(c).alias(c) for c in NUMBERS], F.collect_list(F.concat_ws(":", F.col("pos").cast("string"), "groups")).alias("rare"))
+    found = wanted.join(known, "span").groupBy("th").agg(*[F.sum(c).alias(c) for c in NUMBERS], F.collect_list(F.concat(F.unhex(F.lpad(F.hex("pos"), 8, "0")), F.col("groups"))).alias("rare"))
     both = rows.join(found, "th", "left").select("id", "text", "rare", *NUMBERS)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,12 +304,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                     parts = [known_groups[i] if i >= 0 else "" for i in at.tolist()]
                     out[r] = numbers[at[at >= 0]].sum(axis=0)
                     if len(missing):
-                        own = dict(x.split(":", 1) for x in batch.column(2)[r].as_py() or ())
+                        own = {int.from_bytes(x[:4], "big"): x[4:] for x in batch.column(2)[r].as_py() or ()}
                         if len(own) != len(missing):
                             raise ValueError("a span of a text was not aligned")
                         out[r] += [batch.column(c)[r].as_py() for c in range(3, 3 + len(NUMBERS))]
                         for p in missing.tolist():
-                            parts[p] = own[str(p)]
+                            parts[p] = unpacked(own[p])
                     groups.append(";".join(parts))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(out[:, c])) for c in range(len(NUMBERS))], pa.array(groups, pa.string())], names=["id", *NUMBERS, "groups"])
 
