@@ -257,12 +257,12 @@ def pad_fixed(spark, d):
 
 
 @query(f"""WITH {NODES}, {_PACKS}, placed AS (SELECT pack_id, start + node_id AS slot, graph_id, q, p FROM nodes JOIN st USING (graph_id)), every AS (SELECT DISTINCT pack_id, unnest(range(size)) AS slot FROM p, big)
-    SELECT e.pack_id, CAST(e.slot AS INTEGER) AS slot, a.graph_id, CASE WHEN a.graph_id IS NULL THEN -1.0 ELSE a.q END AS q, CASE WHEN a.graph_id IS NULL THEN -1.0 ELSE a.p END AS p, a.graph_id IS NOT NULL AS mask FROM every e LEFT JOIN placed a ON a.pack_id = e.pack_id AND a.slot = e.slot""")
+    SELECT e.pack_id, CAST(e.slot AS INTEGER) AS slot, coalesce(a.graph_id, -1) AS graph_id, CASE WHEN a.graph_id IS NULL THEN -1.0 ELSE a.q END AS q, CASE WHEN a.graph_id IS NULL THEN -1.0 ELSE a.p END AS p, a.graph_id IS NOT NULL AS mask FROM every e LEFT JOIN placed a ON a.pack_id = e.pack_id AND a.slot = e.slot""")
 def packed_dense(spark, d):
     """Every slot of every pack, -1 where no node is."""
     packs = _real_packs(spark, d)
     placed = packed.index(graphs.order_nodes(_read(spark, d, "lineitem")).select("graph_id", "node_id", "q", "p"), packs)
-    return packed.to_packed(placed, ["q", "p"], _room(packs), -1.0).drop("node_id")
+    return packed.to_packed(placed, ["q", "p"], _room(packs), -1.0).drop("node_id").withColumn("graph_id", F.coalesce("graph_id", F.lit(-1)))
 
 
 @query(f"WITH {_PACKS} SELECT pack_id, start + unnest(range(n)) AS place, size - n AS masked, start AS first_seen FROM st, big")
