@@ -209,16 +209,16 @@ def aligned_spans(tokens: DataFrame, most_pairs: int = 1_000_000) -> tuple[DataF
     spans = saved(rows.groupBy("cid").agg(
         F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.count("*").alias("n_groups"), F.flatten(F.collect_list("links")).alias("links"),
         packed(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "text"))), lambda x: x["text"]), ";")).alias("groups"), F.collect_list("several").alias("several"),
-    ).join(tokens.select("cid", "span", "n"), "cid"), "aligned")
+    ).join(tokens.select("cid", "span", "n"), "cid"), "aligned", tidy=True)
     wide = links_between(spans.where(F.size("several") > 0).select("cid", F.explode("several").alias("x")).select("cid", "x.*"))
-    wide = saved(wide.groupBy("cid").agg(F.collect_list(F.struct("a", "b")).alias("more")), "wide-links")
+    wide = saved(wide.groupBy("cid").agg(F.collect_list(F.struct("a", "b")).alias("more")), "wide-links", tidy=True)
     linked = spans.join(wide, "cid", "left").select("cid", "n", F.explode(F.concat("links", F.coalesce("more", F.array().cast("array<struct<a:int,b:int>>")))).alias("x"))
-    counts = saved(linked.groupBy("x.a", "x.b").agg(F.sum("n").alias("count")), "pair-counts")
+    counts = saved(linked.groupBy("x.a", "x.b").agg(F.sum("n").alias("count")), "pair-counts", tidy=True)
     highest = counts.groupBy("b").agg(F.max("count").alias("highest"))
-    pairs = saved(counts.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best")), "pairs")
+    pairs = saved(counts.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best")), "pairs", tidy=True)
     known = F.broadcast(pairs) if pairs.count() <= most_pairs else pairs
     sums = linked.select("cid", "x.a", "x.b").join(known, ["a", "b"]).groupBy("cid").agg(F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    out = saved(spans.drop("links", "several").join(sums, "cid").drop("cid"), "spans")
+    out = saved(spans.drop("links", "several").join(sums, "cid").drop("cid"), "spans", tidy=True)
     removed(spans, wide, counts)
     return out, pairs
 
@@ -256,7 +256,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     the usual 131,072); all others are joined by span, where a span is not among the commonest, so it has a small part of all occurrences. Texts are
     told apart by 64-bit hashes for that join only.
     """
-    tokens = saved(tokenized(span_counts(docs, a_path, b_path, text_col), a_path, b_path), "span-tokens")
+    tokens = saved(tokenized(span_counts(docs, a_path, b_path, text_col), a_path, b_path), "span-tokens", tidy=True)
     spans, _ = aligned_spans(tokens)
     removed(tokens)
     top = spans.where((F.col("n") >= least_count(spans, frequent)) & (F.octet_length("span") <= 512)).drop("n").toPandas()
