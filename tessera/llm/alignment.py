@@ -112,7 +112,7 @@ def pair_of(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def span_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str, most: int = 300_000) -> DataFrame:
+def span_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str, most: int = 100_000) -> DataFrame:
     """span, n: the distinct spans of all texts that have tokens. Tasks count before the shuffle, up to `most` spans at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
