@@ -247,8 +247,9 @@ def test_line_dedup_recall_against_edit_similarity(spark):
 
     pairs = [(a, b) for a in texts for b in range(a) if similar(texts[a], texts[b])]
     docs = table(spark, list(texts.values()))
-    raw = line_dedup._normal_lines(docs, "doc_id", "text").withColumns({"k": F.xxhash64("line"), "chars": F.length("line")}).withColumn("least", line_dedup.sketch(F.col("line"), F.col("chars")))
-    nodes = raw.select("k", "chars", F.struct("id", "th", "pos").alias("at"), *[F.get("least", F.lit(i)).alias(q) for i, q in enumerate(line_dedup._SKETCH)])
+    raw = line_dedup._normal_lines(docs, "doc_id", "text").withColumns({"k": F.xxhash64("line"), "chars": F.length("line")})
+    raw = line_dedup.with_sketch(raw)
+    nodes = raw.select("k", "chars", F.struct("id", "th", "pos").alias("at"), *line_dedup._SKETCH, *line_dedup._RARE)
     name = {x["id"]: x["k"] for x in raw.select("id", "k").collect()}
     found = line_dedup.links(nodes, docs, None, 0.9, "doc_id", "text")
     group = {x["node"]: x["component"] for x in components.components(found).collect()}
@@ -259,6 +260,44 @@ def test_line_dedup_recall_against_edit_similarity(spark):
     assert all(similar(texts[back[x["a"]]], texts[back[x["b"]]]) for x in found.collect())
 
 
+@pytest.mark.parametrize("words", [6, 30, 80])
+def test_line_dedup_finds_scattered_edits(spark, words):
+    """Characters put in, left out and replaced anywhere, and words replaced, of up to a tenth of a line's characters."""
+    r = random.Random(words)
+    names = ["".join(r.choice("abcdefghijklmnoprstuvwy") for _ in range(r.choice([2, 3, 3, 4, 5, 5, 6, 7, 8, 9]))) for _ in range(3000)]
+    texts, shares = [], []
+    for share in (0.05, 0.08, 0.1):
+        for k in range(120):
+            t = " ".join(r.choice(names) for _ in range(words))
+            many = int(len(t) * share + 1e-9)
+            if k % 3 < 2:
+                w = list(t)
+                for at in sorted(r.sample(range(len(w)), many), reverse=True):
+                    w[at : at + 1] = [r.choice("0123456789")] if k % 3 == 0 else r.choice(([], [w[at], r.choice("0123456789")]))
+                other = " ".join("".join(w).split())
+            else:
+                w = t.split()
+                for at in r.sample(range(len(w)), len(w)):
+                    if len(w[at]) <= many:
+                        many, w[at] = many - len(w[at]), "#" * len(w[at])
+                other = " ".join(w)
+            texts += [t, other]
+            shares.append(share)
+    gone = {x["doc_id"] for x in line_dedup.dedup(table(spark, texts)).where("n_removed > 0").collect()}
+    assert all(k % 2 for k in gone)
+    for share in (0.05, 0.08, 0.1):
+        of = [2 * k + 1 for k, s in enumerate(shares) if s == share]
+        assert len(gone & set(of)) >= 0.9 * len(of), (share, len(gone & set(of)), len(of))
+
+
+def test_line_dedup_finds_edited_lines_among_many_that_hold_one_passage(spark):
+    passage = prose(30, 900)
+    texts = [f"{prose(25, 2000 + k)} {passage} {prose(20, 3000 + k)}" for k in range(90)]
+    near = [typed(t, len(t) // 20, k) for k, t in enumerate(texts[:40])]
+    gone = {x["doc_id"] for x in line_dedup.dedup(table(spark, texts + near)).where("n_removed > 0").collect()}
+    assert gone <= set(range(90, 130)) and len(gone) >= 36, len(gone)
+
+
 def test_long_lines_have_the_same_simhash(spark, monkeypatch):
     docs = table(spark, [prose(900, k) for k in range(3)] + [prose(20, 9)])
     whole = {r["k"]: r["sim"] for r in line_dedup.line_table(docs, "doc_id", "text").collect()}
