@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import encodings
+from tessera.operators import encodings, nearest
 from tessera.operators.graphs import gather, in_graph_pairs, sent, transfer
 
 
@@ -50,24 +50,10 @@ def graph_to_node(graphs: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
 def radius_join(points: DataFrame, position: list[str], cutoff: float, max_neighbours: int) -> DataFrame:
     """Ordered pairs of a graph's points at most `cutoff` apart, the `max_neighbours` nearest of each; ties by number.
 
-    Points lie in cells a hair wider than the cutoff; those of a cell meet the points of the 3^d cells around it, so with points
-    spread out the pairs looked at grow with the points and not with their square. The limit for each point is taken within the
-    tasks before the last exchange. Points with a null or NaN coordinate have no neighbours."""
-    wide = cutoff * (1 + 1e-9)
-    known = points
-    for c in position:
-        known = known.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
-    cells = [F.floor(F.col(c) / wide).alias(f"_c{k}") for k, c in enumerate(position)]
-    keys = ["graph_id", *[f"_c{k}" for k in range(len(position))]]
-    held = known.select("graph_id", F.col("node_id").alias("j"), *[F.col(c).alias(f"{c}_j") for c in position], *cells)
-    asks = known.select("graph_id", F.col("node_id").alias("i"), *[F.col(c).alias(f"{c}_i") for c in position], *cells)
-    for k in range(len(position)):
-        asks = asks.withColumn(f"_c{k}", F.explode(F.array(*[F.col(f"_c{k}") + s for s in (-1, 0, 1)])))
-    both = asks.join(held, keys).where("i <> j")
-    apart = F.sqrt(sum(((F.col(f"{c}_i") - F.col(f"{c}_j")) * (F.col(f"{c}_i") - F.col(f"{c}_j")) for c in position), F.lit(0.0)))
-    near = both.select("graph_id", "i", "j", apart.alias("dist")).where(F.col("dist") <= cutoff)
-    rank = F.row_number().over(Window.partitionBy("graph_id", "i").orderBy(F.round("dist", 9), "j"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= max_neighbours).select("graph_id", "i", "j", "dist")
+    Points lie in tiles of some hundred that are near each other, and tiles meet only where a nearer point may be (see nearest.py); so
+    neither copies nor points that all lie within the cutoff make a row for each pair. Points with a null, NaN or infinite coordinate
+    have no neighbours."""
+    return nearest.nearest(points, position, cutoff, max_neighbours)
 
 
 def hop_distance(nodes: DataFrame, edges: DataFrame, longest: int | None = None) -> DataFrame:

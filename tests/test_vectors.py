@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import attention, graphs, message, nn, pairs
+from tessera.operators import attention, graphs, message, nearest, nn, pairs
 
 
 def plain_attention(q, k, v, masked, position, heads, hd, vd, bias, scale):
@@ -79,6 +79,29 @@ def test_radius_join_by_cells_equals_all_pairs(spark):
         assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_radius_join_of_points_that_all_lie_within_the_cutoff_meets_few_tiles(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    spread = r.normal(0, 0.1, (3000, 2)).round(3)
+    points = [(7, i, *map(float, p)) for i, p in enumerate(spread)] + [(7, 3000 + i, 0.01, 0.02) for i in range(2000)] + [(8, 1, 0.0, float("inf")), (8, 2, 0.0, 0.0)]
+    df = spark.createDataFrame(points, "graph_id int, node_id long, x double, y double")
+    seen, own = [], nearest._met
+    monkeypatch.setattr(nearest, "TILE", 64)
+    monkeypatch.setattr(nearest, "_met", lambda tiles, axes: seen.append((tiles, own(tiles, axes))) or seen[-1][1])
+    got = pairs.radius_join(df, ["x", "y"], 2.0, 4)
+    assert [f.dataType.simpleString() for f in got.schema] == ["int", "bigint", "bigint", "double"]
+    found = {}
+    for x in got.collect():
+        found.setdefault((x["graph_id"], x["i"]), []).append((round(x["dist"], 9), x["j"]))
+    tiles, met = seen[0]
+    size = tiles.count()
+    assert size < 60 and met.count() < size * size / 2  # every point lies within the cutoff of every other, and 2000 at one place
+    at = np.array([p[2:] for p in points[:-2]])
+    assert len(found) == 5000
+    for i in range(0, 5000, 37):
+        apart = np.sqrt(((at - at[i]) ** 2).sum(axis=1)).round(9)
+        assert sorted(found[7, i]) == sorted((float(apart[j]), j) for j in np.lexsort((np.arange(5000), apart)) if j != i)[:4]
+
+
 @pytest.mark.parametrize(("gather_from", "gather_how", "scatter_to", "scatter_how"), [("both", "concat", "both", "concat"), ("senders", "sum", "both", "sum"), ("receivers", "concat", "receivers", "concat"), ("both", "sum", "senders", "sum")])
 def test_mpnn_plus_against_numpy(spark, gather_from, gather_how, scatter_to, scatter_how):
     r = np.random.default_rng(7)
