@@ -108,6 +108,39 @@ def hops(a: np.ndarray) -> np.ndarray:
 
 
 _CELLS = 200_000  # numbers that a task holds before it hands on a batch
+_KEPT = 500_000  # numbers of results, and of keys, that a task keeps for graphs that are equal to earlier ones
+
+
+class Once:
+    """make(n, src, dst) for graphs of Arrow batches. Equal graphs (the same number of nodes and the same edges in any order) of a task share
+    one result, for what is made depends on nothing else; what is kept is dropped when it grows beyond _KEPT numbers."""
+
+    def __init__(self, make: Callable[[int, np.ndarray, np.ndarray], object], size: Callable[[object], int]):
+        self.make, self.size, self.kept, self.held = make, size, {}, 0
+
+    def over(self, batch: pa.RecordBatch, skip: Callable[[int], bool] = lambda r: False) -> Iterator[tuple[int, object]]:
+        """graph_id and result of each row (graph_id, n, src, dst and others) of a batch, None for rows to skip; edges are in the order of src and dst."""
+        n = batch.column(1).to_numpy().astype(np.int64)
+        cuts = batch.column(2).offsets.to_numpy()
+        src, dst = (batch.column(c).values.to_numpy(zero_copy_only=False)[cuts[0] : cuts[-1]].astype(np.int64) for c in (2, 3))
+        cuts = cuts - cuts[0]
+        row = np.repeat(np.arange(len(n)), np.diff(cuts))
+        order = np.lexsort((dst, src, row))
+        src, dst = src[order], dst[order]
+        code = src * n[row] + dst
+        for r, (g, k, a, b) in enumerate(zip(batch.column(0).to_pylist(), n.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if skip(r):
+                yield g, None
+                continue
+            key = (k, code[a:b].tobytes())
+            if key not in self.kept:
+                out = self.make(k, src[a:b], dst[a:b])
+                size = self.size(out) + b - a + 16
+                if self.held + size > _KEPT:
+                    self.kept, self.held = {}, 0
+                self.kept[key] = out
+                self.held += size
+            yield g, self.kept[key]
 
 
 def gathered(nodes: DataFrame, edges: DataFrame, max_nodes: int) -> DataFrame:
@@ -120,7 +153,7 @@ def gathered(nodes: DataFrame, edges: DataFrame, max_nodes: int) -> DataFrame:
 
 def encode(nodes: DataFrame, edges: DataFrame, kernel: Kernel, level: str = "node", max_nodes: int = 512) -> DataFrame:
     """kernel(adjacency) for every graph: [N, F] gives a row a node (graph_id, node_id, pe), [N, N] a row a pair (graph_id, i, j, v);
-    NaN becomes NULL in pairs. Graphs without nodes give nothing. A task holds one graph's result and a bounded batch of others."""
+    NaN becomes NULL in pairs. Graphs without nodes give nothing. A kernel depends on its adjacency alone, and runs once for equal graphs of a task. A task holds one graph's result and a bounded batch of others."""
     if level not in ("node", "nodepair"):
         raise ValueError(f"kernels give node or nodepair features, not {level!r}")
     node = level == "node"
@@ -128,9 +161,10 @@ def encode(nodes: DataFrame, edges: DataFrame, kernel: Kernel, level: str = "nod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, cells = [], 0
+        once = Once(lambda n, src, dst: kernel(adjacency(n, src, dst)), np.size)
         for batch in batches:
-            for g, n, src, dst in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                parts.append((g, kernel(adjacency(n, np.array(src or [], int), np.array(dst or [], int)))))
+            for g, out in once.over(batch):
+                parts.append((g, out))
                 cells += parts[-1][1].size
                 if cells >= _CELLS:
                     yield handed(parts)

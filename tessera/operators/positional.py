@@ -170,15 +170,17 @@ def encode_all(nodes: DataFrame, edges: DataFrame, specs: dict[str, dict], max_n
         node = np.concatenate([np.arange(g.n) for g, _ in done]).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(graph), pa.array(node), pe], names=["graph_id", "node_id", "pe"])
 
+    def encoded(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[Graph, list[np.ndarray]]:
+        g = Graph(n, src, dst)
+        return g, [transferred(kernel(g, **args), made, level, g) for _, made, level, kernel, args in plan]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, done, cells = [], [], 0
+        once = encodings.Once(encoded, lambda made: sum(x.size for x in made[1]) + 4 * made[0].n ** 2)
         for batch in batches:
-            for r in range(batch.num_rows):
-                n = batch.column(1)[r].as_py()
-                src, dst = (np.zeros(0, int) if batch.column(c)[r].values is None else batch.column(c)[r].values.to_numpy().astype(int) for c in (2, 3))
-                g = Graph(n, src, dst)
-                done.append((g, [transferred(kernel(g, **args), made, level, g) for _, made, level, kernel, args in plan]))
-                ids.append(batch.column(0)[r].as_py())
+            for graph, made in once.over(batch):
+                done.append(made)
+                ids.append(graph)
                 cells += sum(x.size for x in done[-1][1])
                 if cells >= _CELLS:
                     yield handed(ids, done)
@@ -207,22 +209,31 @@ def walk_powers(nodes: DataFrame, edges: DataFrame, ksteps: list[int], start: Da
         held = held.withColumn("known", F.lit(None).cast("array<struct<i:int,j:int,p:double>>"))
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
 
+    def powers(n: int, src: np.ndarray, dst: np.ndarray, known: list[dict] | None = None) -> tuple[np.ndarray, ...]:
+        """i, j, k, p of one graph."""
+        g = Graph(n, src, dst)
+        g.power(1)
+        if known:
+            m = np.zeros((n, n))
+            m[[x["i"] for x in known], [x["j"] for x in known]] = [x["p"] for x in known]
+            g._powers[start_k] = m
+        ends = [np.nonzero(g.power(k) > 0) for k in ksteps]
+        sizes = [len(i) for i, _ in ends]
+        return *(np.concatenate([x[c] for x in ends]) for c in (0, 1)), np.repeat(ksteps, sizes), np.concatenate([g.power(k)[x] for k, x in zip(ksteps, ends, strict=True)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[] for _ in kinds]
         size = 0
+        once = encodings.Once(powers, lambda rows: 4 * len(rows[0]))
         for batch in batches:
-            for graph, n, src, dst, known in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                g = Graph(n, np.array(src or [], int), np.array(dst or [], int))
-                g.power(1)
-                if known:
-                    m = np.zeros((n, n))
-                    m[[x["i"] for x in known], [x["j"] for x in known]] = [x["p"] for x in known]
-                    g._powers[start_k] = m
-                for k in ksteps:
-                    i, j = np.nonzero(g.power(k) > 0)
-                    for p, c in zip(parts, (np.full(len(i), graph), i, j, np.full(len(i), k), g.power(k)[i, j]), strict=True):
-                        p.append(c)
-                    size += len(i)
+            known = batch.column(4)
+            for r, (graph, rows) in enumerate(once.over(batch, lambda r: known[r].is_valid and len(known[r]) > 0)):  # noqa: B023
+                if rows is None:
+                    n, src, dst = batch.column(1)[r].as_py(), *((batch.column(c)[r].as_py() or []) for c in (2, 3))
+                    rows = powers(n, np.array(src, int), np.array(dst, int), known[r].as_py())
+                for p, c in zip(parts, (np.full(len(rows[0]), graph), *rows), strict=True):
+                    p.append(c)
+                size += len(rows[0])
                 if size >= _CELLS:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), t) for p, t in zip(parts, kinds, strict=True)], names=["graph_id", "i", "j", "k", "p"])
                     parts, size = [[] for _ in kinds], 0

@@ -158,3 +158,19 @@ def test_directional_sums_against_numpy(spark):
                 t = math.atan2(np.linalg.norm(np.cross(a, b)), a @ b)
                 want += np.einsum("osc,s,c->o", weights, basis(np.linalg.norm(pos[j] - pos[k]), t), x[e])
         assert np.allclose(got[j, i], want, atol=1e-9)
+
+
+def test_equal_graphs_are_encoded_once_a_task(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def kernel(a):
+        calls.add(1)
+        return a.sum(axis=1)[:, None] + a[:, [0]]
+
+    nodes = spark.createDataFrame([(g, i) for g in range(300) for i in range(3)], "graph_id long, node_id int")
+    ends = [[(0, 1), (1, 0), (1, 2), (2, 1)], [(2, 1), (1, 2), (0, 1), (1, 0)], [(0, 1), (1, 0), (0, 1), (1, 0)], []]
+    edges = spark.createDataFrame([(g, a, b) for g in range(300) for a, b in ends[g % 4]], "graph_id long, src int, dst int")
+    got = {(x["graph_id"], x["node_id"]): x["pe"] for x in encodings.encode(nodes, edges, kernel).collect()}
+    want = [[1.0, 3.0, 1.0], [1.0, 3.0, 1.0], [2.0, 4.0, 0.0], [0.0, 0.0, 0.0]]
+    assert got == {(g, i): [want[g % 4][i]] for g in range(300) for i in range(3)}
+    assert calls.value <= 60  # three kinds of graphs, by far fewer tasks than graphs
