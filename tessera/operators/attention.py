@@ -1,6 +1,6 @@
 """Biased multi-head attention inside graphs, by tiles: softmax sums that can be merged, so no table of node pairs is stored.
 
-A graph's nodes are cut into tiles of at most `tile` nodes. Every tile of queries meets every tile of keys of its graph, one row for
+A graph's nodes are dealt over tiles of about `tile` nodes. Every tile of queries meets every tile of keys of its graph, one row for
 two tiles, and gives for each query and head the maximum score, the sum of exp(score - maximum) and the sum of values weighed by it.
 Two such triples of a query merge into one, so tiles may be met in any order and place. Rows are joined on (graph, tile of keys):
 a graph that holds a third of all nodes is spread over as many tasks as it has tiles, and a task holds two tiles at a time.
@@ -16,8 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIST = pa.list_(pa.float64())
-
 
 @dataclass(frozen=True)
 class DistanceBias:
@@ -41,9 +39,10 @@ class DistanceBias:
 
 
 def tiles(nodes: DataFrame, columns: list[str], tile: int) -> DataFrame:
-    """graph_id, tile, ids, and each column (an array) of the tile's nodes as an array of arrays, in the order of ids. Node numbers that have
-    gaps give tiles with fewer nodes, never more."""
-    rows = nodes.select("graph_id", F.floor(F.col("node_id") / tile).alias("tile"), F.struct(F.col("node_id").cast("long").alias("id"), *columns).alias("x"))
+    """graph_id, tile, ids, and each column (an array) of the tile's nodes as an array of arrays, in the order of ids. A graph has as many tiles
+    as its nodes fill, and a node's tile is drawn by its number; so tiles are about full whatever numbers a graph's nodes have."""
+    size = nodes.groupBy("graph_id").agg(F.ceil(F.count("*") / tile).alias("_tiles"))
+    rows = nodes.join(size, "graph_id").select("graph_id", F.pmod(F.xxhash64(F.col("node_id").cast("long")), F.col("_tiles")).alias("tile"), F.struct(F.col("node_id").cast("long").alias("id"), *columns).alias("x"))
     own = rows.groupBy("graph_id", "tile").agg(F.sort_array(F.collect_list("x")).alias("x"))
     return own.select("graph_id", "tile", F.col("x.id").alias("ids"), *[F.col(f"x.{c}").alias(c) for c in columns])
 
@@ -63,6 +62,11 @@ def _matrix(column: pa.Array, row: int, width: int) -> np.ndarray:
     return np.array([[np.nan if v is None else v for v in x] if x else [np.nan] * width for x in inner.to_pylist()], float).reshape(-1, width)
 
 
+def _lists(x: np.ndarray) -> pa.Array:
+    """A list for each row of a matrix."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel(), pa.float64()))
+
+
 def attend(nodes: DataFrame, heads: int, head_dim: int, value_dim: int, bias: DistanceBias | None = None, scale: float | None = None, dims: int = 3, tile: int = 256) -> DataFrame:
     """A row a node: graph_id, node_id, h (array: head by head, `value_dim` entries each) and, with a bias, near (array: the sum of each
     kernel over the graph's keys that are not masked).
@@ -92,16 +96,16 @@ def attend(nodes: DataFrame, heads: int, head_dim: int, value_dim: int, bias: Di
                 n = len(q)
                 if not seen.any():
                     continue
-                score = scale * np.einsum("ihd,jhd->hij", q.reshape(n, heads, head_dim), k[seen].reshape(-1, heads, head_dim))
+                score = scale * (q.reshape(n, heads, head_dim).transpose(1, 0, 2) @ k[seen].reshape(-1, heads, head_dim).transpose(1, 2, 0))
                 near = np.zeros((n, kernels))
                 if bias:
                     g = bias.kernels(_matrix(column["position"], r, dims), _matrix(column["k_position"], r, dims)[seen])
                     near = g.sum(axis=2).T
-                    score += np.einsum("kij,kh->hij", g, weights)
+                    score += np.tensordot(weights, g, (0, 0))
                 m = score.max(axis=2)
                 e = np.exp(score - m[:, :, None])
-                w = np.einsum("hij,jhd->ihd", e, v[seen].reshape(-1, heads, value_dim))
-                lists = [pa.array(list(x), LIST) for x in (m.T, e.sum(axis=2).T, w.reshape(n, -1), near)]
+                w = (e @ v[seen].reshape(-1, heads, value_dim).transpose(1, 0, 2)).transpose(1, 0, 2)
+                lists = [_lists(x) for x in (m.T, e.sum(axis=2).T, w.reshape(n, -1), near)]
                 yield pa.RecordBatch.from_arrays([pa.array([column["graph_id"][r].as_py()] * n, pa.int64()), column["ids"][r].values, *lists], names=["graph_id", "node_id", "m", "s", "w", "near"])
 
     parts = pairs.withColumn("graph_id", F.col("graph_id").cast("long")).mapInArrow(run, schema)

@@ -79,6 +79,12 @@ def test_radius_join_by_cells_equals_all_pairs(spark):
         assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_attention_tiles_are_full_whatever_the_numbers_of_nodes(spark):
+    nodes = spark.createDataFrame([(g, 1000 * i + g, [1.0]) for g in range(2) for i in range(200)], "graph_id long, node_id long, q array<double>")
+    own = attention.tiles(nodes, ["q"], 50).collect()
+    assert len(own) == 8 and sorted(i for x in own for i in x["ids"]) == sorted(1000 * i + g for g in range(2) for i in range(200))
+
+
 def test_radius_join_of_points_that_all_lie_within_the_cutoff_meets_few_tiles(spark, monkeypatch):
     r = np.random.default_rng(11)
     spread = r.normal(0, 0.1, (3000, 2)).round(3)
