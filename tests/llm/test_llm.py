@@ -298,6 +298,17 @@ def test_line_dedup_finds_edited_lines_among_many_that_hold_one_passage(spark):
     assert gone <= set(range(90, 130)) and len(gone) >= 36, len(gone)
 
 
+def test_line_dedup_finds_edited_lines_whose_features_are_all_common(spark):
+    """Lines of nine passages, each one of two, that differ in two at least: more than 60 lines hold each of a line's features."""
+    r = random.Random(31)
+    pick = [k for k in range(512) if k.bit_count() % 2 == 0]
+    passage = [[" ".join("".join(r.choice("abcdefghijklmnoprstuvwy") for _ in range(r.randint(2, 6))) for _ in range(5)) for _ in range(2)] for _ in range(9)]
+    texts = [" ".join(passage[i][k >> i & 1] for i in range(9)) for k in pick]
+    near = [typed(texts[4 * k], len(texts[4 * k]) * 8 // 100, k) for k in range(60)]
+    gone = {x["doc_id"] for x in line_dedup.dedup(table(spark, texts + near)).where("n_removed > 0").collect()}
+    assert gone <= set(range(256, 316)) and len(gone) >= 54, len(gone)
+
+
 def test_long_lines_have_the_same_simhash(spark, monkeypatch):
     docs = table(spark, [prose(900, k) for k in range(3)] + [prose(20, 9)])
     whole = {r["k"]: r["sim"] for r in line_dedup.line_table(docs, "doc_id", "text").collect()}
