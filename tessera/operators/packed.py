@@ -55,7 +55,8 @@ def attention_rows(packs: DataFrame, size: int) -> DataFrame:
     """pack_id, place, masked (array of `size` booleans): what the node at a place must not attend to. False inside its own graph, true
     elsewhere; made from the graph's start and size alone, without pairs."""
     rows = starts(packs).where("n > 0").select("pack_id", "start", "n", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("place"))
-    outside = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: (j < F.col("start")) | (j >= F.col("start") + F.col("n")))
+    same = lambda value, many: F.array_repeat(F.lit(value), F.greatest(many, F.lit(0)).cast("int"))
+    outside = F.slice(F.concat(same(True, F.least(F.col("start"), F.lit(size))), same(False, F.col("n")), same(True, size - F.col("start") - F.col("n"))), 1, size)
     return rows.select("pack_id", "place", outside.alias("masked"))
 
 

@@ -270,7 +270,7 @@ def packed_attention_rows(spark, d):
     """The mask's row of each node, told by how many places it hides and which it shows first."""
     packs = _real_packs(spark, d)
     rows = packed.attention_rows(packs, _room(packs))
-    return rows.select("pack_id", "place", F.size(F.filter("masked", lambda m: m)).cast("long").alias("masked"), (F.array_position("masked", False) - 1).cast("long").alias("first_seen"))
+    return rows.select("pack_id", "place", F.size(F.array_remove("masked", False)).cast("long").alias("masked"), (F.array_position("masked", False) - 1).cast("long").alias("first_seen"))
 
 
 _ROOM = "graphs_ AS (SELECT max(c) + 1 AS most FROM (SELECT count(*) AS c FROM p GROUP BY pack_id)), edges_ AS (SELECT 2 * max(c) + 8 AS most FROM (SELECT sum(n - 1) AS c FROM p GROUP BY pack_id))"

@@ -58,6 +58,11 @@ def test_masks_hide_other_graphs_only(spark, tables):
         assert r["masked"] == [owner.get((r["pack_id"], j)) != owner[r["pack_id"], r["place"]] for j in range(size)]
 
 
+def test_masks_run_no_function_a_slot(tables):
+    """A row's mask is three runs of one value; a lambda over its slots would be interpreted for each of them."""
+    assert "lambda" not in packed.attention_rows(tables[3], 64)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_combined_batches_are_padded_to_one_shape(spark, tables):
     sizes, nodes, edges, packs = tables
     at, used = layout(packs)
