@@ -40,9 +40,15 @@ def to_packed(placed: DataFrame, columns: list[str], size: int, fill: float = 0.
     pack come from one aggregate over it; a place beyond `size` is an error."""
     slot = F.when(F.col("place") >= size, F.raise_error(F.lit(f"a pack has more than {size} nodes")).cast("int")).otherwise(F.col("place")).cast("int")
     own = [c for c in ("graph_id", "node_id") if c not in columns]
-    held = placed.groupBy("pack_id").agg(F.map_from_entries(F.collect_list(F.struct(slot.alias("slot"), F.struct(*own, *columns).alias("x")))).alias("m"))
-    slots = held.select("pack_id", "m", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("slot"))
-    x = F.try_element_at("m", F.col("slot"))
+    held = placed.groupBy("pack_id").agg(F.collect_list(F.struct(slot.alias("slot"), F.struct(*own, *columns).alias("x"))).alias("held"))
+    # the slots without a node are found once a pack; to look each slot up among its nodes would take a pack's size squared
+    free = F.array_except(F.sequence(F.lit(0), F.lit(size - 1)), F.col("held.slot"))
+    twice = F.size(F.array_distinct("held.slot")) < F.size("held")
+    free = F.when(twice, F.raise_error(F.lit("two nodes of a pack have one place")).cast("array<int>")).otherwise(free)
+    none = F.lit(None).cast(held.schema["held"].dataType.elementType["x"].dataType)
+    every = F.concat("held", F.transform(free, lambda k: F.struct(k.alias("slot"), none.alias("x"))))
+    slots = held.select("pack_id", F.explode(every).alias("at")).select("pack_id", "at.slot", "at.x")
+    x = F.col("x")
     return slots.select("pack_id", "slot", *[x[c].alias(c) for c in own], *[F.when(x.isNull(), F.lit(fill)).otherwise(x[c]).alias(c) for c in columns], x.isNotNull().alias("mask"))
 
 

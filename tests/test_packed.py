@@ -47,6 +47,18 @@ def test_places_dense_packs_and_back(spark, tables):
         packed.index(nodes, packs.withColumn("n", F.lit(1))).collect()
 
 
+def test_dense_packs_look_no_slot_up_among_all_nodes(spark, tables):
+    nodes, packs = tables[1], tables[3]
+    placed = packed.index(nodes, packs)
+    assert "element_at" not in packed.to_packed(placed, ["q"], 99)._jdf.queryExecution().optimizedPlan().toString()
+    gaps = placed.where("place <> 2").collect()
+    dense = {(r["pack_id"], r["slot"]): r for r in packed.to_packed(placed.where("place <> 2"), ["q"], 99, -5.0).collect()}
+    assert len(dense) == 99 * 6 and sum(r["mask"] for r in dense.values()) == len(gaps)
+    assert all(dense[r["pack_id"], r["place"]]["q"] == r["q"] for r in gaps) and all(dense[k, 2]["q"] == -5.0 for k in range(6))
+    with pytest.raises(Exception, match="one place"):
+        packed.to_packed(placed.union(placed), ["q"], 99).collect()
+
+
 def test_masks_hide_other_graphs_only(spark, tables):
     sizes, _, _, packs = tables
     at, used = layout(packs)
