@@ -143,6 +143,33 @@ class Once:
             yield g, self.kept[key]
 
 
+class Batch:
+    """Graphs that wait to be handed on: each distinct result once, and for each graph which one it has; so rows of equal graphs are copied by
+    Arrow (take), not put together one by one."""
+
+    def __init__(self):
+        self.ids, self.at, self.made, self.place, self.cells = [], [], [], {}, 0
+
+    def add(self, graph: int, made: object, cells: int) -> bool:
+        """Takes a graph in; True once _CELLS numbers are reached."""
+        at = self.place.get(id(made))
+        if at is None:
+            at = self.place[id(made)] = len(self.made)
+            self.made.append(made)
+        self.ids.append(graph)
+        self.at.append(at)
+        self.cells += cells
+        return self.cells >= _CELLS
+
+    def rows(self, sizes: np.ndarray, columns: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+        """graph_id and columns of all graphs; columns hold the rows of the distinct results one after another, sizes how many rows each has."""
+        at = np.array(self.at)
+        cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        graph = np.repeat(np.array(self.ids, np.int64), np.asarray(sizes)[at])
+        taken = [pa.ListArray.from_arrays(cuts, c).take(pa.array(at)).flatten() for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(graph), *taken], names=["graph_id", *names])
+
+
 def gathered(nodes: DataFrame, edges: DataFrame, max_nodes: int) -> DataFrame:
     """graph_id, n, src, dst: a row a graph with the ends of its edges; a graph over `max_nodes` is an error."""
     size = nodes.groupBy("graph_id").agg((F.max("node_id") + 1).alias("n"))
@@ -160,28 +187,26 @@ def encode(nodes: DataFrame, edges: DataFrame, kernel: Kernel, level: str = "nod
     schema = "graph_id long, node_id int, pe array<double>" if node else "graph_id long, i int, j int, v double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, cells = [], 0
-        once = Once(lambda n, src, dst: kernel(adjacency(n, src, dst)), np.size)
+        waiting = Batch()
+        once = Once(lambda n, src, dst: np.asarray(kernel(adjacency(n, src, dst)), float), np.size)
         for batch in batches:
             for g, out in once.over(batch):
-                parts.append((g, out))
-                cells += parts[-1][1].size
-                if cells >= _CELLS:
-                    yield handed(parts)
-                    parts, cells = [], 0
-        if parts:
-            yield handed(parts)
-
-    def handed(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        sizes = [len(out) if node else len(out) ** 2 for _, out in parts]
-        graph = pa.array(np.repeat(np.array([g for g, _ in parts], np.int64), sizes))
-        values = np.concatenate([np.asarray(out, float).ravel() for _, out in parts])
+                if waiting.add(g, out, out.size):
+                    yield handed(waiting)
+                    waiting = Batch()
+        if waiting.ids:
+            yield handed(waiting)
+
+    def handed(waiting: Batch) -> pa.RecordBatch:
+        parts = waiting.made
+        sizes = np.array([len(out) if node else len(out) ** 2 for out in parts])
+        values = np.concatenate([out.ravel() for out in parts])
         numbers = np.concatenate([np.arange(k) for k in sizes]).astype(np.int32)
         if node:
-            widths = np.repeat([out.shape[1] for _, out in parts], sizes)
+            widths = np.repeat([out.shape[1] for out in parts], sizes)
             pe = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)), pa.array(values))
-            return pa.RecordBatch.from_arrays([graph, pa.array(numbers), pe], names=["graph_id", "node_id", "pe"])
-        i, j = np.divmod(numbers, np.repeat([max(len(out), 1) for _, out in parts], sizes).astype(np.int32))
-        return pa.RecordBatch.from_arrays([graph, pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(values, pa.float64(), from_pandas=True)], names=["graph_id", "i", "j", "v"])
+            return waiting.rows(sizes, [pa.array(numbers), pe], ["node_id", "pe"])
+        i, j = np.divmod(numbers, np.repeat([max(len(out), 1) for out in parts], sizes).astype(np.int32))
+        return waiting.rows(sizes, [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(values, pa.float64(), from_pandas=True)], ["i", "j", "v"])
 
     return gathered(nodes, edges, max_nodes).select(F.col("graph_id").cast("long"), F.col("n").cast("int"), "src", "dst").mapInArrow(run, schema)

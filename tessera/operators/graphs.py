@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 
 LEVELS = ("graph", "node", "edge", "nodepair")
 
+_ROWS = 200_000  # rows that a task sorts and aggregates at a time, about
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows in partitions by key, of about _ROWS rows each: their number grows with the table, and a task's memory does not, as it does with a
+    fixed number of partitions or with partitions that are joined until their files (not what is built from them) are large enough."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // _ROWS)), key)
+
 
 def order_nodes(lineitem: DataFrame) -> DataFrame:
-    """A node a line item; a graph an order. One shuffle on graph_id, which later joins on graph_id reuse."""
+    """A node a line item; a graph an order. One shuffle on graph_id, into partitions of bounded size, which later joins on graph_id reuse."""
     order = Window.partitionBy("graph_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return lineitem.withColumn("graph_id", F.col("l_orderkey")).select(
+    return dealt(lineitem.withColumn("graph_id", F.col("l_orderkey")), "graph_id").select(
         "graph_id", (F.row_number().over(order) - 1).alias("node_id"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"),
         F.col("l_discount").alias("d"), F.col("l_tax").alias("t"), F.col("l_returnflag").alias("flag"), "l_partkey", "l_suppkey",
     )
@@ -26,6 +34,14 @@ def path_edges(nodes: DataFrame) -> DataFrame:
     return out.where("x.o is not null").select("graph_id", "src", (F.col("src") + F.col("x.step")).alias("dst"), "q_src", "d_src", F.col("x.o.q").alias("q_dst"), F.col("x.o.t").alias("t_dst"), (F.col("flag_src") == F.col("x.o.flag")).alias("same_flag"))
 
 
+def path_steps(nodes: DataFrame) -> DataFrame:
+    """Both directions between consecutive nodes of a graph, without features: it reads no more columns than the nodes' own order does, so that
+    nodes and edges of one query share their exchange."""
+    w = Window.partitionBy("graph_id").orderBy("node_id")
+    both = nodes.select("graph_id", "node_id", F.array(F.lead("node_id").over(w), F.lag("node_id").over(w)).alias("near"))
+    return both.select("graph_id", F.col("node_id").alias("src"), F.explode(F.array_compact("near")).alias("dst"))
+
+
 def path_ends(nodes: DataFrame, feature: str = "x") -> DataFrame:
     """Both directions between consecutive nodes with the array `feature` of both ends as x_src and x_dst, and same_flag; no join, no exchange."""
     w = Window.partitionBy("graph_id").orderBy("node_id")

@@ -163,30 +163,28 @@ def encode_all(nodes: DataFrame, edges: DataFrame, specs: dict[str, dict], max_n
         struct = pa.StructArray.from_arrays([pa.array(ends), inner.take(pa.array(order))], fields=[edge.value_type.field(0), edge.value_type.field(1)])
         return pa.ListArray.from_arrays(cuts(np.concatenate([np.bincount(g.src, minlength=g.n) for g, _ in parts])), struct)
 
-    def handed(ids: list[int], done: list[tuple[Graph, list[np.ndarray]]]) -> pa.RecordBatch:
+    def handed(waiting: encodings.Batch) -> pa.RecordBatch:
+        done = waiting.made
         fields = [column([(g, x[k]) for g, x in done], level) for k, (_, _, level, _, _) in enumerate(plan)]
         pe = pa.StructArray.from_arrays(fields, names=[name for name, *_ in plan])
-        graph = np.repeat(np.array(ids, np.int64), [g.n for g, _ in done])
-        node = np.concatenate([np.arange(g.n) for g, _ in done]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(graph), pa.array(node), pe], names=["graph_id", "node_id", "pe"])
+        sizes = np.array([g.n for g, _ in done])
+        node = np.concatenate([np.arange(n) for n in sizes]).astype(np.int32)
+        return waiting.rows(sizes, [pa.array(node), pe], ["node_id", "pe"])
 
     def encoded(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[Graph, list[np.ndarray]]:
         g = Graph(n, src, dst)
         return g, [transferred(kernel(g, **args), made, level, g) for _, made, level, kernel, args in plan]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, done, cells = [], [], 0
+        waiting = encodings.Batch()
         once = encodings.Once(encoded, lambda made: sum(x.size for x in made[1]) + 4 * made[0].n ** 2)
         for batch in batches:
             for graph, made in once.over(batch):
-                done.append(made)
-                ids.append(graph)
-                cells += sum(x.size for x in done[-1][1])
-                if cells >= _CELLS:
-                    yield handed(ids, done)
-                    ids, done, cells = [], [], 0
-        if done:
-            yield handed(ids, done)
+                if waiting.add(graph, made, sum(x.size for x in made[1])):
+                    yield handed(waiting)
+                    waiting = encodings.Batch()
+        if waiting.ids:
+            yield handed(waiting)
 
     gathered = encodings.gathered(nodes, edges, max_nodes).select(F.col("graph_id").cast("long"), F.col("n").cast("int"), F.col("src").cast("array<int>"), F.col("dst").cast("array<int>"))
     return gathered.mapInArrow(run, schema)

@@ -18,7 +18,7 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _path_graphs(spark, d):
     nodes = graphs.order_nodes(_read(spark, d, "lineitem"))
-    return nodes, graphs.path_edges(nodes)
+    return nodes, graphs.path_steps(nodes)
 
 
 _SIZE = f"{NODES}, n AS (SELECT *, CAST(count(*) OVER (PARTITION BY graph_id) AS DOUBLE) AS size FROM nodes)"
