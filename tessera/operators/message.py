@@ -94,8 +94,8 @@ def mpnn_plus(
     makes the message of `edge_width` numbers. Messages are aggregated entry by entry at what `scatter_to` names, by every aggregator in
     turn; the two directions are concatenated (receivers first) or added. node_model sees the node's feature followed by all of it.
 
-    Both directions are one union and one aggregate with partial sums before its exchange, so a hub's messages are summed
-    where they are made. A node without messages gets 0 (std: the root of 1e-5).
+    Both directions and the nodes are one union and one aggregate with partial sums before its exchange, so a hub's messages are summed
+    where they are made, and nothing is joined or exchanged again. A node without messages gets 0 (std: the root of 1e-5).
     """
     for value, known in ((gather_from, BOTH), (scatter_to, BOTH), (gather_how, ("concat", "sum")), (scatter_how, ("concat", "sum"))):
         if value not in known:
@@ -113,8 +113,12 @@ def mpnn_plus(
     ends = F.explode(F.array(*[F.struct(F.lit(s == "src").alias("back"), F.col(s).alias("node_id")) for s in sides]))
     dealt = up.select("graph_id", "m", ends.alias("to")).select("graph_id", "to.node_id", "to.back", *[F.get("m", F.lit(k)).alias(f"m{k}") for k in range(edge_width)])
     cells = {(s, a, k): aggregator(a, F.when(F.col("back") == F.lit(s == "src"), F.col(f"m{k}"))) for s in sides for a in aggregators for k in range(edge_width)}
-    found = dealt.groupBy("graph_id", "node_id").agg(*[c.alias(f"{s}_{a}_{k}") for (s, a, k), c in cells.items()])
-    joined = nodes.select("graph_id", "node_id", F.col(feature).alias("x")).join(found, ["graph_id", "node_id"], "left")
+    own = [F.get(feature, F.lit(k)).alias(f"x{k}") for k in range(width)]
+    here = nodes.select("graph_id", "node_id", *own, F.col(feature).isNotNull().alias("some"))
+    kept = [F.first(f"x{k}", ignorenulls=True).alias(f"x{k}") for k in range(width)]
+    met = dealt.where("graph_id is not null and node_id is not null")  # a null is no node's key
+    found = met.unionByName(here, allowMissingColumns=True).groupBy("graph_id", "node_id").agg(*kept, F.bool_or("some").alias("some"), *[c.alias(f"{s}_{a}_{k}") for (s, a, k), c in cells.items()])
+    joined = found.where("some is not null").withColumn("x", F.when(F.col("some"), F.array(*[F.col(f"x{k}") for k in range(width)])))
     direction = lambda s: F.array(*[F.coalesce(f"{s}_{a}_{k}", F.lit(0.0031622776601683794 if a == "std" else 0.0)) for a in aggregators for k in range(edge_width)])
     got = [direction(s) for s in sides]
     all_ = got[0] if len(got) == 1 else F.concat(*got) if scatter_how == "concat" else added(*got)
