@@ -144,8 +144,8 @@ def fingerprints(rows: DataFrame, stages: list[tuple[str, Stage]], at: dict[str,
             seen[name] = rows
     wide = None
     for name in at:
-        flat = seen[name].select("graph_id", "node_id", *[F.get(column, F.lit(k)).alias(f"{name}_{k}") for k in range(width[name])])
-        wide = flat if wide is None else wide.join(flat, ["graph_id", "node_id"], "full")
+        flat = seen[name].select("graph_id", *[F.get(column, F.lit(k)).alias(f"{name}_{k}") for k in range(width[name])])
+        wide = flat if wide is None else wide.unionByName(flat, allowMissingColumns=True)  # aggregates ignore nulls, so stages need not meet node by node
     cells = [(name, how, k) for name, hows in at.items() for how in hows for k in range(width[name])]
     pooled = wide.groupBy("graph_id").agg(*[pooling.pooled(how, F.col(f"{name}_{k}")).alias(f"_{i}") for i, (name, how, k) in enumerate(cells)])
     return pooled.select("graph_id", F.array(*[F.col(f"_{i}") for i in range(len(cells))]).alias("fingerprint"))
