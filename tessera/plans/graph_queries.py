@@ -238,6 +238,10 @@ def gaussian_rbf(spark, d):
     w AS (SELECT *, exp(score - max(score) OVER (PARTITION BY graph_id, i)) AS e FROM s) SELECT graph_id, i AS node_id, round(sum(e * v) / sum(e), 4) AS h FROM w GROUP BY ALL""")
 def attention_single_head(spark, d):
     """Softmax over a graph's nodes of ten times the product of discounts, applied to quantities."""
-    s = graphs.in_graph_pairs(_nodes(spark, d), {"d": "d", "q": "q"}).withColumn("score", F.col("d_i") * F.col("d_j") * 10.0)
-    e = F.exp(F.col("score") - F.max("score").over(Window.partitionBy("graph_id", "i")))
+    graph = Window.partitionBy("graph_id")
+    nodes = _nodes(spark, d).withColumns({"lo": F.min("d").over(graph), "hi": F.max("d").over(graph)})
+    s = graphs.in_graph_pairs(nodes, {"d": "d", "q": "q", "lo": "lo", "hi": "hi"})
+    # a product with d_i rises or falls with d_j, so the largest score is that of an end: no sort of the pairs
+    most = F.greatest(F.col("d_i") * F.col("lo_i") * 10.0, F.col("d_i") * F.col("hi_i") * 10.0)
+    e = F.exp(F.col("d_i") * F.col("d_j") * 10.0 - most)
     return s.withColumn("e", e).groupBy("graph_id", F.col("i").alias("node_id")).agg(F.round(F.sum(F.col("e") * F.col("q_j")) / F.sum("e"), 4).alias("h"))
