@@ -761,3 +761,13 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     assert of(c.quality_rules(spark, docs, str(tmp_path))) == sorted(good, key=repr)
     assert c.near_duplicates(spark, docs, str(tmp_path)).columns == docs.columns
     assert {x["doc_id"] for x in c.repeated_lines(spark, docs, str(tmp_path)).collect()} >= {2, 7, 8, 9}
+
+
+def test_texts_of_lines_are_not_broadcast(spark, monkeypatch):
+    """pipeline: no number of lines is sent to the driver to find their texts."""
+    monkeypatch.setattr(line_dedup.F, "broadcast", lambda d: pytest.fail("broadcast"))
+    docs = spark.createDataFrame([(1, "One  line\n two"), (None, "three\nOne line"), (1, "one line"), (4, None)], "doc_id long, text string")
+    table = line_dedup._normal_lines(docs, "doc_id", "text").withColumn("k", F.xxhash64("line"))
+    wanted = table.groupBy("k").agg(F.min(F.struct("id", "th", "pos")).alias("at"), F.min("line").alias("want"))
+    got = {r.k: r.line for r in line_dedup.texts_of(wanted, docs, "doc_id", "text").collect()}
+    assert got == {r.k: r.want for r in wanted.collect()} and set(got.values()) == {"one line", "two", "three"}
