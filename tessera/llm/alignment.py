@@ -32,6 +32,7 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 SPACE = "▁"
 _MARKS = str.maketrans("abc", ",|;")
 BLOCK = 64  # bytes; tokens of a group are joined by the blocks that they lie in
+DEALT = 40_000  # spans of a task that sorts and sums their tokens
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -163,10 +164,10 @@ def token_ends(tokens: DataFrame) -> DataFrame:
 
     Tokens of both are exploded from one table that is dealt by span; windowed sums of their lengths are their ends; and the full
     equi-join of both sides on (span, end) is one aggregate over their union, so that all of it takes a single exchange of rows
-    that still hold whole token lists."""
+    that still hold whole token lists. Partitions have about DEALT spans, for a few MB of lists are hundreds of MB of rows to sort."""
     listed = lambda s, of_b: F.zip_with(s, s + "_len", lambda i, n: F.struct(F.lit(of_b).alias("of_b"), i.alias("id"), n.alias("len")))
     both = F.concat(listed("a", False), listed("b", True))
-    dealt = tokens.select("cid", "a", "a_len", "b", "b_len").repartition("cid")  # plain lists of numbers, a fifth of what structs take
+    dealt = tokens.select("cid", "a", "a_len", "b", "b_len").repartition(max(-(-tokens.count() // DEALT), 1), "cid")  # plain lists of numbers, a fifth of what structs take
     rows = dealt.select("cid", F.posexplode(both).alias("pos", "t")).select("cid", "pos", "t.*")
     upto = Window.partitionBy("cid", "of_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum("len").over(upto).cast("int"))

@@ -93,6 +93,14 @@ def test_alignment_equals_plain_version(spark, frequent):
     assert sorted(map(tuple, got.collect()), key=key) == sorted([(k, *w) for (k, *_), w in zip(rows, want, strict=True)], key=key)
 
 
+def test_tokens_are_sorted_in_partitions_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "DEALT", 50, raising=False)
+    docs = spark.createDataFrame([(k, f"w{k} x{k} y{k}") for k in range(200)], "doc_id long, text string")
+    tokens = alignment.tokenized(alignment.span_counts(docs, A, B, "text"), A, B).localCheckpoint()
+    assert tokens.count() == 600
+    assert alignment.token_ends(tokens).rdd.getNumPartitions() == 12
+
+
 def test_alignment_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.align(empty, A, B).count() == 0
