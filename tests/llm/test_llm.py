@@ -763,6 +763,33 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     assert {x["doc_id"] for x in c.repeated_lines(spark, docs, str(tmp_path)).collect()} >= {2, 7, 8, 9}
 
 
+def test_texts_of_lines_are_kept_once(spark, monkeypatch):
+    kept, saved = {}, line_dedup.saved
+    monkeypatch.setattr(line_dedup, "texts_of", lambda *a: pytest.fail("texts fetched from the documents"))
+    monkeypatch.setattr(line_dedup, "saved", lambda df, name, tidy=False: kept.setdefault(name, df.columns) and saved(df, name, tidy))
+    line = "a line of a few words that is found in both of these texts, but for an end"
+    got = line_dedup.dedup(table(spark, [line + " here", line + " there", None, ""]))
+    assert [r["n_removed"] for r in got.orderBy("doc_id").collect()] == [0, 1, 0, 0]
+    assert kept["line-table"] == ["id", "th", "pos", "k"] and "line" in kept["lines"]
+
+
+def test_bound_by_characters_is_short_and_equals_a_plain_count(spark):
+    r = random.Random(3)
+    lines = ["".join(r.choice("etaoin srhldcumpfgywbvk.xé") for _ in range(r.choice([0, 3, 40, 300]))) for _ in range(60)] + ["e" * 5000, "e" * 4000 + "t" * 3000, (" " + "eta.") * 900]
+    rows = spark.createDataFrame([(a, b, k % 50) for k, a in enumerate(lines) for b in lines], "la string, lb string, allowed int")
+    bags = [x.alias(c + s) for s in "ab" for c, x in zip(line_dedup._BAGS, line_dedup._bags(F.col("l" + s)), strict=True)]
+    near = line_dedup._bags_near("a", "b", F.col("allowed"))
+    got = {(x["la"], x["lb"], x["allowed"]): x["near"] for x in rows.select("*", *bags).select("la", "lb", "allowed", near.alias("near")).collect()}
+    counts = {x: [min(x.count(c), line_dedup._MOST) for c in "".join(line_dedup._BAG)] for x in lines}
+
+    def apart(a, b):
+        over = sum(max(m - n, 0) for m, n in zip(counts[a], counts[b], strict=True))
+        return over + max(sum(counts[b]) - sum(counts[a]), 0)
+
+    assert got == {(a, b, n): apart(a, b) <= n for a, b, n in got} and len(set(got.values())) == 2
+    assert str(near).count("c0a") <= 4  # a condition that repeats its columns is too long to be compiled
+
+
 def test_texts_of_lines_are_not_broadcast(spark, monkeypatch):
     """pipeline: no number of lines is sent to the driver to find their texts."""
     monkeypatch.setattr(line_dedup.F, "broadcast", lambda d: pytest.fail("broadcast"))
