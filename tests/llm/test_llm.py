@@ -798,3 +798,31 @@ def test_texts_of_lines_are_not_broadcast(spark, monkeypatch):
     wanted = table.groupBy("k").agg(F.min(F.struct("id", "th", "pos")).alias("at"), F.min("line").alias("want"))
     got = {r.k: r.line for r in line_dedup.texts_of(wanted, docs, "doc_id", "text").collect()}
     assert got == {r.k: r.want for r in wanted.collect()} and set(got.values()) == {"one line", "two", "three"}
+
+
+def test_pairs_of_common_keys_are_bounded_by_runs_that_lose_none(spark):
+    """op2_line_dedup: before texts are fetched, lines of a common key are told apart by runs of characters; no pair within the distance is lost."""
+    r = random.Random(41)
+    rows = []
+    for k in range(120):
+        a = "".join(r.choice("etaoin srhé😀") for _ in range(r.choice([0, 5, 6, 7, 40, 300])))
+        w = list(a)
+        for _ in range(n := r.randint(0, 12)):
+            at = r.randrange(len(w) + 1)
+            w[at : at + 1] = r.choice(([], ["x"], [r.choice("etaoin"), *w[at : at + 1]]))
+        rows += [(a, "".join(w), n, True), (a, "".join(r.choice("etaoin srhé😀") for _ in a), len(a) // 10, None)]
+    near = line_dedup._runs_near(line_dedup._runs(F.col("lb"), True), line_dedup._runs(F.col("la")), F.col("allowed"))
+    got = spark.createDataFrame(rows, "la string, lb string, allowed int, within boolean").withColumn("near", near).collect()
+    assert all(x["near"] for x in got if x["within"])
+    assert sum(not x["near"] for x in got if not x["within"] and len(x["la"]) == 300) > 5
+
+
+def test_line_tables_hold_neither_sketches_nor_counts(spark, monkeypatch):
+    """pipeline, op2_line_dedup: a line's sketch goes into its keys and is not stored; counts of characters are stored once a line, not once a key."""
+    kept, saved = {}, line_dedup.saved
+    monkeypatch.setattr(line_dedup, "saved", lambda df, name, tidy=False: kept.setdefault(name, df.columns) and saved(df, name, tidy))
+    line = "a line of a few words that is found in both of these texts, but for an end"
+    got = line_dedup.dedup(table(spark, [line + " here", line + " there", None, ""]))
+    assert [r["n_removed"] for r in got.orderBy("doc_id").collect()] == [0, 1, 0, 0]
+    assert kept["lines"] == ["k", "at", "rows", "line", "chars"]
+    assert kept["bags"] == ["k", *line_dedup._BAGS] and not any({*line_dedup._BAGS} & {*kept[x]} for x in ("placed", "grouped", "split-keys"))
